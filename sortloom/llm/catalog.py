@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from sortloom.llm import sentencepieces
+from sortloom.llm import sentencepieces, substrings
+from sortloom.llm.common import one_line
 
 
 def queries() -> dict[str, Callable]:
-    return {"op6_sentencepiece": sentencepieces.op6_sentencepiece}
+    return {
+        "op6_sentencepiece": sentencepieces.op6_sentencepiece,
+        "op10_repeated_passages": substrings.op10_repeated_passages,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_repeated_passages": one_line(substrings.ORACLE)}
