@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from sortloom.llm import sentencepieces, substrings
+from sortloom.llm import neardup, sentencepieces, substrings
 from sortloom.llm.common import one_line
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op6_sentencepiece": sentencepieces.op6_sentencepiece,
+        "op9_near_duplicates": neardup.op9_near_duplicates,
         "op10_repeated_passages": substrings.op10_repeated_passages,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_repeated_passages": one_line(substrings.ORACLE)}
+    return {"op9_near_duplicates": one_line(neardup.ORACLE), "op10_repeated_passages": one_line(substrings.ORACLE)}
