@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from sortloom.llm import neardup, sentencepieces, substrings
+from sortloom.llm import decontaminate, languages, neardup, secrets, sentencepieces, substrings
 from sortloom.llm.common import one_line
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_contamination": decontaminate.op1_contamination,
+        "op2_secrets": secrets.op2_secrets,
+        "op5_language": languages.op5_language,
         "op6_sentencepiece": sentencepieces.op6_sentencepiece,
         "op9_near_duplicates": neardup.op9_near_duplicates,
         "op10_repeated_passages": substrings.op10_repeated_passages,
