@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from sortloom.llm import decontaminate, languages, neardup, secrets, sentencepieces, substrings
+from sortloom.llm import decontaminate, languages, neardup, secrets, sentencepieces, substrings, urls
 from sortloom.llm.common import one_line
 
 
@@ -12,6 +12,7 @@ def queries() -> dict[str, Callable]:
     return {
         "op1_contamination": decontaminate.op1_contamination,
         "op2_secrets": secrets.op2_secrets,
+        "op4_url_rules": urls.op4_url_rules,
         "op5_language": languages.op5_language,
         "op6_sentencepiece": sentencepieces.op6_sentencepiece,
         "op9_near_duplicates": neardup.op9_near_duplicates,
@@ -20,4 +21,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_near_duplicates": one_line(neardup.ORACLE), "op10_repeated_passages": one_line(substrings.ORACLE)}
+    return {"op4_url_rules": one_line(urls.ORACLE), "op9_near_duplicates": one_line(neardup.ORACLE), "op10_repeated_passages": one_line(substrings.ORACLE)}
