@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from sortloom.llm import decontaminate, languages, neardup, secrets, sentencepieces, substrings, urls
+from sortloom.llm import decontaminate, languages, neardup, personal, secrets, sentencepieces, substrings, urls
 from sortloom.llm.common import one_line
 
 
@@ -12,6 +12,7 @@ def queries() -> dict[str, Callable]:
     return {
         "op1_contamination": decontaminate.op1_contamination,
         "op2_secrets": secrets.op2_secrets,
+        "op3_personal_data": personal.op3_personal_data,
         "op4_url_rules": urls.op4_url_rules,
         "op5_language": languages.op5_language,
         "op6_sentencepiece": sentencepieces.op6_sentencepiece,
