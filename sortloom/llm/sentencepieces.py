@@ -15,12 +15,16 @@ give repeated rows; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +32,11 @@ from pyspark.sql import functions as F
 from sortloom.llm.common import table
 
 MARK = "▁"
-#: Stretches in a worker's table before it becomes the older of two (together about 200 MB).
-REMEMBERED = 300_000
+#: Texts over so many characters have an agenda of their own. A rank after all others.
+LONG, NEVER = 36, np.int32(2**31 - 1)
+#: Stretches in a worker's table before it becomes the older of two (together about 450 MB).
+REMEMBERED = 700_000
+FIRST, SECOND = itemgetter(0), itemgetter(1)
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_checked bigint, n_corrected bigint"
 
 
@@ -64,6 +71,8 @@ class Encoder:
         alone = "".join(c for c in "\n\t\r| " if c not in together)
         x = re.escape(alone)
         self.stretches = re.compile(f"{MARK}+[^{MARK}{x}]*|[^{MARK}{x}]+" + (f"|[{x}]" if alone else "")).findall
+        self.decimals = [str(i) for i in range(n)]
+        self._tables()
         self.remembered, self.check, self.known, self.older = remembered, check, {}, {}
         self.checked = self.corrected = 0
 
@@ -117,48 +126,111 @@ class Encoder:
                 start = i
         return [*parts, stretch[start:]]
 
-    def learn(self, texts: list[str]) -> list[list[str]]:
-        """Encodes the stretches of these texts that aren't known yet and checks them, all at once, against the library."""
-        if len(self.known) > self.remembered:
-            self.older, self.known = self.known, {}
-        known, older, cut = self.known, self.older, []
-        new: dict[str, list[int]] = {}
-        for text in texts:
-            cut.append(found := self.stretches(MARK + text.replace(" ", MARK)) if text else [])
-            for s in found:
-                if s in known:
-                    continue
-                if s in older:
-                    known[s] = older[s]
-                else:
-                    ids: list[int] = []
-                    for part in self.apart(s):
-                        got = new.get(part)
-                        if got is None:
-                            entry = known.get(part) or older.get(part)
-                            got = new[part] = self.agenda(part) if entry is None else entry[0]
-                        ids += got
-                    known[s] = (tuple(ids), ",".join(map(str, ids)))
-                    new.setdefault(s, ids)
+    def _tables(self) -> None:
+        """For agendas(): symbols are numbered (pieces by id, then other characters of pieces), and every pair that makes a piece is listed."""
+        number = dict(self.ids)
+        for c in sorted({c for p in self.ids for c in p} - number.keys()):
+            number[c] = len(self.decimals) + len(number) - len(self.ids)
+        self.none = len(self.decimals) + len(number) - len(self.ids)  # pairs with nothing
+        order = {x: r for r, x in enumerate(sorted({-x for x in self.scores.values()}))}
+        made = sorted((number[p[:i]] * (self.none + 1) + number[p[i:]], order[-self.scores[p]], number[p]) for p in self.ids for i in range(1, len(p)) if p[:i] in number and p[i:] in number)
+        self.keys, self.ranks, self.makes = (np.array(x, t) for x, t in zip(zip(*made, strict=True), (np.int64, np.int32, np.int32), strict=True))
+        self.of_char = np.full(0x110000, self.none, np.int32)
+        for c, i in number.items():
+            if len(c) == 1:
+                self.of_char[ord(c)] = i
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank of the piece that the two symbols make, or NEVER; its id)."""
+        key = left.astype(np.int64) * (self.none + 1) + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NEVER), self.makes[at]
+
+    def agendas(self, parts: list[str]) -> list[list[int]]:
+        """agenda() of many short texts at once: a row each, in every round each row merges its best-scored pair, the leftmost of equals."""
+        length = np.fromiter(map(len, parts), np.int64, len(parts))
+        width = int(length.max())
+        symbol = np.full((len(parts), width + 2), self.none, np.int32)
+        at = np.repeat(np.cumsum(length) - length, length)
+        row = np.repeat(np.arange(len(parts)), length)
+        symbol[row, np.arange(len(row)) - at + 1] = self.of_char[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)]
+        after = np.tile(np.minimum(np.arange(1, width + 3), width + 1), (len(parts), 1))
+        before = np.tile(np.maximum(np.arange(-1, width + 1), 0), (len(parts), 1))
+        rank, make = self._pairs(symbol[:, :-1], symbol[:, 1:])
+        left = np.arange(len(parts))
+        while len(left):
+            best = rank[left].argmin(1)
+            more = rank[left, best] < NEVER
+            left, best = left[more], best[more]
+            if not len(left):
+                break
+            gone = after[left, best]
+            beyond, prior = after[left, gone], before[left, best]
+            symbol[left, best], symbol[left, gone] = make[left, best], -1
+            after[left, best], before[left, beyond] = beyond, best
+            rank[left, gone.clip(max=width)] = NEVER
+            rank[left, best], make[left, best] = self._pairs(symbol[left, best], symbol[left, beyond])
+            got = self._pairs(symbol[left, prior], symbol[left, best])
+            rank[left, prior], make[left, prior] = np.where(prior > 0, got[0], NEVER), got[1]
+        inner = symbol[:, 1:-1]
+        inner[np.arange(width) >= length[:, None]] = -1
+        flat, ends = inner[inner >= 0].tolist(), np.cumsum((inner >= 0).sum(1)).tolist()
+        odd = (inner >= len(self.decimals)).any(1).tolist()
+        return [self.agenda(p) if o else flat[s:e] for p, o, s, e in zip(parts, odd, [0, *ends], ends, strict=False)]
+
+    def learn(self, stretches: set[str]) -> None:
+        """Encodes stretches that aren't in the table and checks them, all at once, against the library."""
+        known, older, new, split = self.known, self.older, {}, {}
+        for s in stretches:
+            if s in older:
+                known[s] = older[s]
+            else:
+                split[s] = self.apart(s)
+        todo = {p for parts in split.values() for p in parts}
+        for p in list(todo):
+            entry = known.get(p) or older.get(p)
+            if entry is not None:
+                new[p] = entry[0]
+                todo.discard(p)
+        by_length: dict[int, list[str]] = {}
+        for p in todo:
+            by_length.setdefault(0 if len(p) > LONG else -(-len(p) // 6), []).append(p)
+        for k, parts in by_length.items():
+            for i in range(0, len(parts), 8192):
+                some = parts[i : i + 8192]
+                new |= zip(some, self.agendas(some) if k else map(self.agenda, some), strict=True)
+        spell = self.decimals.__getitem__
+        for s, parts in split.items():
+            ids = tuple(chain.from_iterable(map(new.__getitem__, parts))) if len(parts) > 1 else tuple(new[s])
+            known[s] = (ids, ",".join(map(spell, ids)))
+            for p in parts if len(parts) > 1 else ():
+                if p not in known:
+                    known[p] = (tuple(new[p]), ",".join(map(spell, new[p])))
+            new[s] = ids
+        new = {s: new[s] for s in split.keys() | todo}
         if self.check and new:
             # The library puts a mark before a text: what starts with one is given without it.
             asked = [s for s in new if s[0] == MARK and s != MARK]
             self.checked += len(asked)
             for s, ids in zip(asked, self.library.encode([s[1:].replace(MARK, " ") for s in asked], num_threads=1), strict=True):
-                if list(ids) != list(new[s]):
+                if len(ids) != len(new[s]) or tuple(ids) != tuple(new[s]):
                     self.corrected += 1
                     known[s] = (tuple(ids), ",".join(map(str, ids)))
-        return cut
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0][0]
 
     def encode_all(self, texts: list[str]) -> list[tuple[list[int], str]]:
         """(ids, the same as decimals joined by commas) of each text."""
+        if len(self.known) > self.remembered:
+            self.older, self.known = self.known, {}
+        known, cut = self.known, [self.stretches(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        if missing := {s for found in cut for s in found if s not in known}:
+            self.learn(missing)
         out = []
-        for found in self.learn(texts):
-            entries = [self.known[s] for s in found]
-            out.append(([i for e in entries for i in e[0]], ",".join([e[1] for e in entries])))
+        for found in cut:
+            entries = [known[s] for s in found]
+            out.append((list(chain.from_iterable(map(FIRST, entries))), ",".join(map(SECOND, entries))))
         return out
 
 
@@ -174,6 +246,13 @@ def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
+        gc.disable()  # the tables hold no cycles, and looking for some takes a seventh of the time
+        try:
+            yield from encoded(enc, batches)
+        finally:
+            gc.enable()
+
+    def encoded(enc: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
