@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from sortloom.llm import decontaminate, languages, neardup, personal, secrets, sentencepieces, substrings, urls
+from sortloom.llm import decontaminate, languages, licenses, neardup, personal, quality, secrets, sentencepieces, substrings, urls
 from sortloom.llm.common import one_line
 
 
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable]:
         "op4_url_rules": urls.op4_url_rules,
         "op5_language": languages.op5_language,
         "op6_sentencepiece": sentencepieces.op6_sentencepiece,
+        "op7_license_scan": licenses.op7_license_scan,
+        "op8_quality_rules": quality.op8_quality_rules,
         "op9_near_duplicates": neardup.op9_near_duplicates,
         "op10_repeated_passages": substrings.op10_repeated_passages,
     }

@@ -36,6 +36,23 @@ def words_of(c: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+", -1))
 
 
+def matches(text: Column, pattern: Column | str) -> Column:
+    """array<struct<s, e, v>>: start and end in code points, and the words of each match, left to right."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s: int, e: int, v: string>>)").alias("out"))
+    pairs = F.zip_with(gaps, found, lambda g, v: F.struct(F.length(g).alias("g"), v.alias("v")))
+
+    def step(acc: Column, x: Column) -> Column:
+        s = acc["at"] + x["g"]
+        e = s + F.length(x["v"])
+        more = F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v")))).alias("out"))
+        return F.when(x["v"].isNull(), acc).otherwise(more)  # the gap after the last match
+
+    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share: under spark.checkpoint.dir, or, where that is unset, under one set here."""
     root = spark.conf.get("spark.checkpoint.dir", None)

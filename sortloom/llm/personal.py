@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortloom.llm.common import table
+from sortloom.llm.common import matches, table
 
 KINDS = ("email", "ip", "card", "phone", "address", "number", "account", "hosts")
 #: Per kind: what a text must hold (a literal, or a pattern), the pattern, and characters that separate its digits.
@@ -52,22 +52,6 @@ SAMPLES, ROUNDS, DEPTH, RATE, PRECISION, SEED = 2400, 24, 3, 0.3, 0.98, 11
 # ---- native spans --------------------------------------------------------------------------------------------
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, v>>: start and end in code points, and the words of each match, left to right."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s: int, e: int, v: string>>)").alias("out"))
-    pairs = F.zip_with(gaps, found, lambda g, v: F.struct(F.length(g).alias("g"), v.alias("v")))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["g"]
-        e = s + F.length(x["v"])
-        more = F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v")))).alias("out"))
-        return F.when(x["v"].isNull(), acc).otherwise(more)  # the gap after the last match
-
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
-
-
 def none() -> Column:
     return F.expr("cast(array() as array<struct<s: int, e: int, v: string>>)")
 
