@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from sortloom.llm import decontaminate, languages, licenses, neardup, personal, quality, secrets, sentencepieces, substrings, urls
 from sortloom.llm.common import one_line
 
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable]:
         "op7_license_scan": licenses.op7_license_scan,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_near_duplicates": neardup.op9_near_duplicates,
+        "pipeline": corpus_pipeline.run,
         "op10_repeated_passages": substrings.op10_repeated_passages,
     }
 

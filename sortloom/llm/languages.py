@@ -288,6 +288,22 @@ def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFra
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
+def spoken(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs, all columns, whose text has letters and a language with a score of at least `least`."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for whole in batches:
+            for i in range(0, whole.num_rows, 2048):
+                batch = whole.slice(i, 2048)
+                got, _ = known.decide([t or "" for t in batch.column(place).to_pylist()])
+                yield batch.filter(pa.array([language != "und" and score >= least for language, score in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learned_outside(docs: DataFrame) -> Model:
     """Learned from the rows whose crc32(doc_id as text) mod 4 is not 2."""
     return learn(docs.where(~held_out(F.col("doc_id"))))
