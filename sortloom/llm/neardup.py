@@ -10,11 +10,12 @@ Links, without emitting all pairs of a bucket:
 1. Documents with equal shingle sets form classes; from here on a class is one node.
 2. Every member of a bucket is verified against a few centres of the bucket (its smallest members under
    several orders). The links found give components.
-3. Buckets whose members are still in different components get the rest of their pairs verified: those
-   between different components, except pairs whose signatures agree in too few coordinates (over five
-   standard deviations below the threshold). A pair is made once, in the first band that it shares.
-So every candidate pair is verified or lies within one component already. Components come from
-alternating large-star and small-star steps on tables; nothing is collected.
+3. What is left are pairs in a bucket whose members are still in different components. Each bucket has a
+   reference r, its centre with most links, and every member's intersection with r is known from step 2.
+   Two members have at most min(|x & r|, |y & r|) shingles of r in common, and outside r as many as an index of
+   what lies outside counts; a pair is verified only where both together could be enough, which is an exact bound.
+So every candidate pair is verified, ruled out, or lies within one component already. Components come
+from alternating large-star and small-star steps on tables; nothing is collected.
 
 Defined results: null texts and texts without words have no shingles and are linked with nothing; texts
 with fewer words than a shingle have one, the whole sequence; rows with equal doc_id count as the same
@@ -84,25 +85,23 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[n
 
 
 def _signed(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n (of shingles), f1 and f2 (a fingerprint of the set), bands, sig (16 bits a coordinate)."""
+    """doc_id, n (of shingles), f1 and f2 (a fingerprint of the set), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in H.blocks(batch.column(1)):
-                n, f1, f2, bands, sigs = [], [], [], [], []
+                n, f1, f2, bands = [], [], [], []
                 for s in shingle_sets(data, offsets, size):
                     n.append(len(s))
                     f1.append(int(H.mix(s, 41).sum(dtype=H.U).view(np.int64)))
                     f2.append(int(H.mix(s, 43).sum(dtype=H.U).view(np.int64)))
-                    sig = signature(s) if len(s) else None
-                    bands.append(None if sig is None else band_keys(sig).view(np.int64))
-                    sigs.append(None if sig is None else sig.astype(np.uint16).view(np.int16))
+                    bands.append(band_keys(signature(s)).view(np.int64) if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int16()))],
-                    names=["doc_id", "n", "f1", "f2", "bands", "sig"],
+                    [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                    names=["doc_id", "n", "f1", "f2", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>, sig array<smallint>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -117,40 +116,53 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return rows.join(small(ids, BROADCAST_IDS), "node", "left_semi").mapInArrow(run, "node bigint, set binary")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b) those with 100 * intersection >= percent * union."""
-    pairs = kept(pairs)
-    ids = kept(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    sets = kept(_sets(docs, ids, size))
+def _beside(pairs: DataFrame, sets: DataFrame, work, schema: str) -> DataFrame:
+    """The rows that work(set of a, set of b) gives for each of the distinct pairs (a, b): a's set is sent once for each group of its partners."""
     groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
     members = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), "b")
     members = members.join(sets.withColumnRenamed("node", "b"), "b").select("a", "g", "b", "set")
     heads = groups.join(sets.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(None).cast("bigint").alias("b"), "set")
+    fields = [f.split() for f in schema.split(", ")]
+    arrow = [{"bigint": pa.int64(), "binary": pa.binary()}[kind] for _, kind in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, heads_now = None, []
-        for batch in batches:
-            a, b = [], []
-            for x, y, s in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
-                s = np.frombuffer(s, H.U)
-                if y is None:
-                    if x != now:
-                        now, heads_now = x, []
-                    heads_now.append(s)
-                    continue
-                for h in heads_now if x == now else []:
-                    if 100 * min(len(h), len(s)) < percent * max(len(h), len(s)):
-                        continue
-                    at = np.searchsorted(h, s)
-                    at[at == len(h)] = 0
-                    both = int((h[at] == s).sum())
-                    if 100 * both >= percent * (len(h) + len(s) - both):
-                        a.append(x), b.append(y)
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, 512):
+                batch, out = whole.slice(i, 512), []
+                for x, y, s in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                    s = np.frombuffer(s, H.U)
+                    if y is None:
+                        if x != now:
+                            now, heads_now = x, []
+                        heads_now.append(s)
+                    else:
+                        for h in heads_now if x == now else []:
+                            out += [(x, y, *row) for row in work(h, s)]
+                columns = list(zip(*out, strict=True)) or [[]] * len(arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow, strict=True)], names=[name for name, _ in fields])
 
     streams = heads.union(members).repartition("a", "g").sortWithinPartitions("a", "g", F.col("b").asc_nulls_first())
-    return kept(streams.mapInArrow(run, "a bigint, b bigint").distinct())
+    return streams.mapInArrow(run, schema)
+
+
+def _common(h: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """For each of s whether it is in h; both sorted."""
+    at = np.searchsorted(h, s)
+    at[at == len(h)] = 0
+    return h[at] == s
+
+
+def measured(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """Of distinct pairs (a, b): na, nb, both (the sizes of their shingle sets and of the intersection)."""
+    pairs = kept(pairs)
+    ids = kept(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    sets = kept(_sets(docs, ids, size))
+    return kept(_beside(pairs, sets, lambda h, s: [(len(h), len(s), int(_common(h, s).sum()))], "a bigint, b bigint, na bigint, nb bigint, both bigint"))
+
+
+def linked(pairs: DataFrame, percent: int) -> DataFrame:
+    return pairs.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b").distinct()
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +195,6 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """node, label (the smallest id it is connected with) for every linked id, by alternating star steps."""
     edges = kept(links.select("a", "b").where("a <> b").mapInArrow(_forest, "u bigint, v bigint"))
-    mark = None
     while True:
         # Large star: larger neighbours of u are linked to the smallest id around u.
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -193,47 +204,115 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = kept(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
+        # Done when every component is one star: each node has one link down, and what it is linked to has none.
+        chained = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi")
+        if chained.isEmpty() and edges.groupBy("u").count().where("count > 1").isEmpty():
             break
-        mark = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select("v", F.col("v").alias("label")).distinct())
 
 
+def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels after more links, which join whole components."""
+    named = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    between = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).distinct()
+    moved = kept(components(kept(between)))
+    new = moved.join(labels, "node", "left_anti")
+    old = labels.join(moved.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return old.union(new)
+
+
+def _left(docs: DataFrame, members: DataFrame, centres: DataFrame, tested: DataFrame, links: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of a bucket, in different components, that are neither tested nor ruled out."""
+    sides = tested.select("a", "b", "na", "nb", "both").union(tested.select("b", "a", "nb", "na", "both"))
+    degree = links.select(F.col("a").alias("c")).union(links.select("b")).groupBy("c").agg(F.count("*").alias("links"))
+    reference = centres.join(degree, "c", "left").groupBy("key").agg(F.max_by("c", F.struct(F.coalesce("links", F.lit(0)), "c")).alias("ref"))
+    placed = members.join(reference, "key").select("ref", "node").distinct()
+    placed = placed.join(labels, "node", "left").select("ref", "node", F.coalesce("label", "node").alias("label"))
+    placed = kept(placed)
+    each = placed.groupBy("ref", "label").agg(F.count("*").alias("k"))
+    main = each.groupBy("ref").agg(F.count("*").alias("labels"), F.sum("k").alias("members"), F.max_by("label", F.struct("k", "label")).alias("main")).where("labels > 1 and members > 2").select("ref", "main")
+    known = sides.toDF("ref", "node", "nr", "n", "m")
+    others = placed.where("ref <> node").join(main, "ref").join(known, ["ref", "node"]).select("ref", "node", "label", "main", "n", "m")
+    others = kept(others)
+    # The reference itself is tested against every member, so pairs are among the others.
+    pairs = kept(others.select(F.col("ref").alias("a"), F.col("node").alias("b")))
+    ids = kept(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    outside = _beside(pairs, kept(_sets(docs, ids, size)), lambda h, s: [(s[~_common(h, s)].tobytes(),)], "a bigint, b bigint, outside binary").toDF("ref", "node", "outside")
+    rows = kept(others.join(outside, ["ref", "node"]))
+    left = _possible(rows, percent).distinct()
+    return left.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _possible(rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of one reference, in different components, whose intersection could be large enough.
+
+    rows: ref, node, label, main (the label of most), n, m (shingles, and those in the reference), outside (the others).
+    Every pair has a member that isn't of the main label. These stand in blocks of at most GROUP or so, each with an index of what
+    lies outside the reference; the reference's members pass by each block, in groups that go to different tasks.
+    """
+    few, every = F.col("label") != F.col("main"), F.lit(1)
+    sizes = rows.groupBy("ref").agg(F.ceil(F.count_if(few) / GROUP).cast("int").alias("blocks"), F.ceil(F.count(every) / (8 * GROUP)).cast("int").alias("groups"))
+    placed = rows.join(sizes, "ref").where("blocks > 0")
+    of = lambda count, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(count)).cast("int")
+    up_to = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    columns = ["node", "label", "main", "n", "m", "outside"]
+    heads = placed.where(few).withColumn("block", of("blocks", 1)).select("ref", "block", up_to("groups").alias("g"), F.lit(0).alias("kind"), *columns)
+    members = placed.withColumn("g", of("groups", 2)).select("ref", up_to("blocks").alias("block"), "g", F.lit(1).alias("kind"), *columns)
+    stream = heads.unionByName(members).repartition("ref", "block", "g").sortWithinPartitions("ref", "block", "g", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block, index, held = None, [], {}, None
+        for whole in batches:
+            for i in range(0, whole.num_rows, 512):
+                batch, found = whole.slice(i, 512), []
+                for ref, b, g, kind, node, label, main, n, m, outside in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if (ref, b, g) != now:
+                        now, block, index, held = (ref, b, g), [], {}, None
+                    shingles = np.frombuffer(outside, H.U).tolist()
+                    if kind == 0:
+                        for x in shingles:
+                            index.setdefault(x, []).append(len(block))
+                        block.append((node, label, n, m))
+                        continue
+                    if not block:
+                        continue
+                    if held is None:
+                        held = np.array(block, np.int64).T
+                    nodes, labels, sizes1, inside = held
+                    both = np.minimum(inside, m)
+                    for x in shingles:
+                        if x in index:
+                            np.add.at(both, index[x], 1)
+                    ok = (labels != label) & (100 * np.minimum(sizes1, n) >= percent * np.maximum(sizes1, n)) & ((100 + percent) * both >= percent * (sizes1 + n))
+                    if label != main:
+                        ok &= nodes > node
+                    found += [(min(node, x), max(node, x)) for x in nodes[ok].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+    return stream.mapInArrow(run, "a bigint, b bigint")
+
+
 def link_classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(one row per document: doc_id, n, f1, f2; one row per class: f1, f2, component)."""
     signed = kept(_signed(docs, size))
     classes = kept(
-        signed.where("n > 0").groupBy("f1", "f2").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n", "bands", "sig"))).alias("x")).select("f1", "f2", F.col("x.doc_id").alias("node"), "x.n", "x.bands", "x.sig")
+        signed.where("n > 0").groupBy("f1", "f2").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "bands"))).alias("x")).select("f1", "f2", F.col("x.doc_id").alias("node"), "x.bands")
     )
     nodes = classes.where("node is not null")
     rows = nodes.select(F.explode("bands").alias("key"), "node")
-    orders = [F.min_by("node", F.xxhash64("node", F.lit(k)) if k else F.col("node")).alias(f"c{k}") for k in range(ORDERS)]
-    buckets = rows.groupBy("key").agg(F.count("*").alias("size"), *orders).where("size > 1")
+    buckets = rows.groupBy("key").agg(F.min("node").alias("c0"), F.max("node").alias("last")).where("c0 < last").select("key")
     members = kept(rows.join(kept(buckets), "key"))
-    centres = members.select("node", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(ORDERS)]))).alias("c")).where("node <> c")
-    first = centres.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-    first = kept(first)
-    links = verified(docs, first, size, percent)
+    orders = [F.min_by("node", F.xxhash64("node", F.lit(k)) if k else F.col("node")).alias(f"c{k}") for k in range(ORDERS)]
+    centres = kept(members.groupBy("key").agg(*orders).select("key", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(ORDERS)]))).alias("c")))
+    first = members.join(centres, "key").where("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+    tested = measured(docs, first, size)
+    links = kept(linked(tested, percent))
     labels = kept(components(links))
-
-    open_rows = members.where("size > 2").select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    open_rows = kept(open_rows)
-    each = open_rows.groupBy("key", "label").agg(F.count("*").alias("k"))
-    main = each.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("k", "label")).alias("main")).where("labels > 1").select("key", "main")
-    carried = open_rows.join(kept(main), "key").join(nodes.select("node", "n", "bands", "sig"), "node")
-    carried = kept(carried)
-    few = carried.where("label <> main").select("key", *[F.col(c).alias(f"{c}1") for c in ("node", "label", "n", "bands", "sig")])
-    agree = "size(filter(zip_with(sig, sig1, (x, y) -> x = y), x -> x))"
-    least_agreeing = int(COORDINATES * max(0.0, percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / COORDINATES) ** 0.5))
-    rest = carried.join(few, "key").where(
-        f"label <> label1 and (label = main or node < node1) and 100 * least(n, n1) >= {percent} * greatest(n, n1)"
-        f" and element_at(filter(zip_with(bands, bands1, (x, y) -> if(x = y, x, null)), x -> x is not null), 1) = key and {agree} >= {least_agreeing}"
-    )
-    second = rest.select(F.least("node", "node1").alias("a"), F.greatest("node", "node1").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = verified(docs, second, size, percent)
-    labels = kept(components(links.union(more)))
-    found = classes.select("f1", "f2", "node").join(labels, "node", "left").select("f1", "f2", F.coalesce("label", "node").alias("component"))
+    left = kept(_left(docs, members, centres, tested, links, labels, size, percent))
+    more = kept(linked(measured(docs, left, size), percent)) if not left.isEmpty() else left
+    if not more.isEmpty():
+        labels = kept(_joined(labels, more))
+    found = nodes.select("f1", "f2", "node").join(labels, "node", "left").select("f1", "f2", F.coalesce("label", "node").alias("component"))
     return signed.select("doc_id", "n", "f1", "f2"), kept(found)
 
 
