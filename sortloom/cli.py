@@ -9,8 +9,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from sortloom.functions.record import crc_sum, key_of, u128_hex
-from sortloom.operators.validate import merged, partition_summaries, summary_line
+from sortloom.functions.record import crc_sum, u128_hex
+from sortloom.operators.validate import merged, summaries_in_place, summary_line
 from sortloom.plans import cost
 from sortloom.plans.job import Job, run_and_print
 from sortloom.sources import fixedrec, gensort
@@ -91,9 +91,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.c:
             print(rows.agg(u128_hex(F.coalesce(crc_sum(F.col("record")), F.lit(0)))).first()[0])
     elif args.command == "validate":
-        # Every object is one stretch of the order: splits in the order of names stand for partitions.
-        rows = fixedrec.read(spark, args.path, split_bytes=1 << 62).select(F.spark_partition_id().alias("p"), key_of(F.col("record")).alias("key"), "record")
-        summary = merged(partition_summaries(rows)).first().asDict()
+        # Splits in the order of names stand for partitions.
+        rows = fixedrec.read(spark, args.path)
+        summary = merged(summaries_in_place(rows)).first().asDict()
         print(summary_line(summary))
         return int(summary["unordered_count"] > 0)
     else:

@@ -36,9 +36,13 @@ def split_points(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(1, n).select(F.col("id").alias("i"), F.expr(f"id * {PREFIXES} div {n}").alias("prefix"))
 
 
-def equal_width(records: DataFrame, n: int, key: str = "key", p: str = "p") -> DataFrame:
-    """The records with their partition's number p, each in the partition of that number: one shuffle of the rows as they are."""
-    placed = records.withColumn(p, F.when(F.col(key).isNotNull(), partition_of(F.col(key), n)).otherwise(F.raise_error(F.lit("a record without a key"))))
+def equal_width(records: DataFrame, n: int, key: str | Column = "key", p: str = "p") -> DataFrame:
+    """The records with their partition's number p, each in the partition of that number: one shuffle of the rows as they are.
+
+    A key given as an expression isn't shuffled beside what it is taken from.
+    """
+    key = F.col(key) if isinstance(key, str) else key
+    placed = records.withColumn(p, F.when(key.isNotNull(), partition_of(key, n)).otherwise(F.raise_error(F.lit("a record without a key"))))
     return placed.repartitionById(n, p)
 
 

@@ -7,10 +7,16 @@ key of one is held against the first key of the next; empty partitions are passe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import Decimal
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from sortloom.functions.record import crc_sum, hex_of, u128_hex
+from sortloom.functions.record import KEY_BYTES, crc, crc_sum, hex_of, key_of, u128_hex
 from sortloom.operators.sort import with_position
 
 
@@ -63,14 +69,46 @@ def readable(summary: DataFrame) -> DataFrame:
 
 
 def observed(ordered: DataFrame, key: str = "key", record: str = "record") -> tuple[DataFrame, Observation]:
-    """The ordered rows, and what they add up to, once whatever writes them is done: validation costs no pass of its own.
+    """The sorted rows, and what they add up to, once whatever writes them is done: validation costs no pass and no sort of its own.
 
-    The observation counts within partitions; keys that repeat over a boundary can't, as equal keys share a partition.
+    The window asks for the very order that sort_partitions has made, so it takes the rows as they come out of the sort, and a key
+    below the one before it would show. The observation counts within partitions; keys that repeat over a boundary can't, as equal
+    keys share a partition.
     """
     seen = Observation()
-    rows = with_previous(ordered, key)
+    rows = ordered.withColumn("prev", F.lag(key).over(Window.partitionBy("p").orderBy(key)))
     rows = rows.observe(seen, F.min(key).alias("first_key"), F.max(key).alias("last_key"), *_counts(key, record))
-    return rows.drop("prev", "pos"), seen
+    return rows.drop("prev"), seen
+
+
+def summaries_in_place(records: DataFrame, record: str = "record") -> DataFrame:
+    """partition_summaries of rows where they stand, p the number of the Spark partition: nothing is shuffled or sorted.
+
+    Only keys and CRCs, made natively, go to the Python worker; a batch is compared at once, its first row with the last one before.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        count = duplicates = falls = total = 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(n, KEY_BYTES)
+            joined = keys if last is None else np.concatenate([np.frombuffer(last, np.uint8)[None], keys])
+            high, low = np.ascontiguousarray(joined[:, :8]).view(">u8")[:, 0], np.ascontiguousarray(joined[:, 8:]).view(">u2")[:, 0]
+            same = high[1:] == high[:-1]
+            duplicates += int((same & (low[1:] == low[:-1])).sum())
+            falls += int(((high[1:] < high[:-1]) | (same & (low[1:] < low[:-1]))).sum())
+            total += sum(batch.column(1).to_pylist())
+            count += n
+            first, last = first or keys[0].tobytes(), keys[-1].tobytes()
+        if count:
+            row = {"p": TaskContext.get().partitionId(), "first_key": first, "last_key": last, "record_count": count, "duplicate_count": duplicates, "unordered_count": falls, "checksum": Decimal(total)}
+            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("p", pa.int32()), ("first_key", pa.binary()), ("last_key", pa.binary()), ("record_count", pa.int64()), ("duplicate_count", pa.int64()), ("unordered_count", pa.int64()), ("checksum", pa.decimal128(38, 0))]))
+
+    rows = records.select(key_of(F.col(record)), crc(F.col(record)))
+    return rows.mapInArrow(run, "p int, first_key binary, last_key binary, record_count long, duplicate_count long, unordered_count long, checksum decimal(38,0)")
 
 
 def summary_line(row: dict) -> str:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sortloom.functions.record import key_of
-from sortloom.operators.sort import sort_records
+from sortloom.operators.partition import equal_width
+from sortloom.operators.sort import sort_partitions
 from sortloom.operators.validate import observed, summary_line
 from sortloom.sources import fixedrec, gensort
 
@@ -35,8 +36,9 @@ class Job:
         return gensort.generate(spark, self.input_count, partitions=self.reader.get("numPartitions")).select("record")
 
     def plan(self, spark: SparkSession) -> DataFrame:
-        """key, record, p in order: one shuffle of the records, and no other."""
-        return sort_records(self.source(spark).select(key_of(F.col("record")).alias("key"), "record"), self.partitions)
+        """record, p, key in order: one shuffle of the records, and no other; keys are taken from them behind it."""
+        placed = equal_width(self.source(spark), self.partitions, key_of(F.col("record")))
+        return sort_partitions(placed.withColumn("key", key_of(F.col("record"))))
 
     def run(self, spark: SparkSession) -> dict:
         """Does it; the summary of what was written."""

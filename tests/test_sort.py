@@ -89,3 +89,31 @@ def test_one_shuffle_and_a_sort_that_stays(spark):
     assert "Sort [p" in plan
     keys = V.partition_summaries(ordered.select("p", "key", F.lit(b"").alias("record")))._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in keys or "Repartition" in keys
+
+
+def test_the_job_shuffles_once_and_sorts_once(spark):
+    job = Job(8, input_count=1000)
+    rows, _ = V.observed(job.plan(spark))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    lines = [x.strip(" +-:*()0123456789") for x in plan.splitlines()]
+    assert sum(x.startswith("Exchange") for x in lines) == 1 and sum(x.startswith("Sort ") for x in lines) == 1
+    exchange = next(x for x in plan.splitlines() if "Exchange" in x)
+    below = plan[plan.index(exchange) :]
+    assert "key#" not in below  # only the record and its partition are shuffled
+
+
+def test_an_order_that_is_broken_shows_in_the_observation(spark):
+    """Rows whose partition claims the order of another column: keys fall, and the window sees them fall."""
+    rows = spark.createDataFrame([(0, bytearray(bytes([9 - i] * 10)), bytearray(100)) for i in range(10)], "p int, key binary, record binary").coalesce(1)
+    got = V.partition_summaries(rows).first()
+    assert (got["unordered_count"], got["duplicate_count"]) == (9, 0)
+
+
+def test_summaries_in_place_equal_those_of_the_window(spark):
+    rows = S.sort_records(generated(spark, 3000), 8)
+    pick = lambda df: [tuple(map(str, r)) for r in V.readable(df).select("p", "first_key", "last_key", "record_count", "duplicate_count", "unordered_count", "checksum").orderBy("p").collect()]
+    assert pick(V.summaries_in_place(rows)) == pick(V.partition_summaries(rows))
+    mixed = generated(spark, 3000).repartition(3)
+    seen = V.merged(V.summaries_in_place(mixed)).first()
+    assert seen["record_count"] == 3000 and seen["unordered_count"] > 1000
+    assert V.merged(V.summaries_in_place(generated(spark, 0))).first()["record_count"] == 0
