@@ -81,34 +81,66 @@ def observed(ordered: DataFrame, key: str = "key", record: str = "record") -> tu
     return rows.drop("prev"), seen
 
 
+class Running:
+    """The summary of a stream of keys and CRCs: a batch is compared at once, its first key with the last one before."""
+
+    def __init__(self):
+        self.first = self.last = None
+        self.count = self.duplicates = self.falls = self.total = 0
+
+    def add(self, keys: np.ndarray, crcs: np.ndarray) -> None:
+        """keys: rows of KEY_BYTES bytes."""
+        if not len(keys):
+            return
+        joined = keys if self.last is None else np.concatenate([np.frombuffer(self.last, np.uint8)[None], keys])
+        high, low = np.ascontiguousarray(joined[:, :8]).view(">u8")[:, 0], np.ascontiguousarray(joined[:, 8:]).view(">u2")[:, 0]
+        same = high[1:] == high[:-1]
+        self.duplicates += int((same & (low[1:] == low[:-1])).sum())
+        self.falls += int(((high[1:] < high[:-1]) | (same & (low[1:] < low[:-1]))).sum())
+        self.total += int(crcs.sum(dtype=np.uint64))  # a batch has far fewer than 2**32 rows
+        self.count += len(keys)
+        self.first, self.last = self.first or keys[0].tobytes(), keys[-1].tobytes()
+
+    def row(self, p: int) -> dict:
+        return {"p": p, "first_key": self.first, "last_key": self.last, "record_count": self.count, "duplicate_count": self.duplicates, "unordered_count": self.falls, "checksum": Decimal(self.total)}
+
+
+SUMMARY = "p int, first_key binary, last_key binary, record_count long, duplicate_count long, unordered_count long, checksum decimal(38,0)"
+
+
 def summaries_in_place(records: DataFrame, record: str = "record") -> DataFrame:
     """partition_summaries of rows where they stand, p the number of the Spark partition: nothing is shuffled or sorted.
 
-    Only keys and CRCs, made natively, go to the Python worker; a batch is compared at once, its first row with the last one before.
+    Only keys and CRCs, made natively, go to the Python worker.
     """
+    arrow = pa.schema([("p", pa.int32()), ("first_key", pa.binary()), ("last_key", pa.binary()), ("record_count", pa.int64()), ("duplicate_count", pa.int64()), ("unordered_count", pa.int64()), ("checksum", pa.decimal128(38, 0))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = last = None
-        count = duplicates = falls = total = 0
+        seen = Running()
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(n, KEY_BYTES)
-            joined = keys if last is None else np.concatenate([np.frombuffer(last, np.uint8)[None], keys])
-            high, low = np.ascontiguousarray(joined[:, :8]).view(">u8")[:, 0], np.ascontiguousarray(joined[:, 8:]).view(">u2")[:, 0]
-            same = high[1:] == high[:-1]
-            duplicates += int((same & (low[1:] == low[:-1])).sum())
-            falls += int(((high[1:] < high[:-1]) | (same & (low[1:] < low[:-1]))).sum())
-            total += sum(batch.column(1).to_pylist())
-            count += n
-            first, last = first or keys[0].tobytes(), keys[-1].tobytes()
-        if count:
-            row = {"p": TaskContext.get().partitionId(), "first_key": first, "last_key": last, "record_count": count, "duplicate_count": duplicates, "unordered_count": falls, "checksum": Decimal(total)}
-            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("p", pa.int32()), ("first_key", pa.binary()), ("last_key", pa.binary()), ("record_count", pa.int64()), ("duplicate_count", pa.int64()), ("unordered_count", pa.int64()), ("checksum", pa.decimal128(38, 0))]))
+            _, offsets, data = batch.column(0).buffers()
+            if batch.num_rows:
+                at = np.frombuffer(offsets, np.int32)[batch.column(0).offset :][: batch.num_rows + 1]
+                if (np.diff(at) != KEY_BYTES).any():
+                    raise ValueError("a record is too short for a key")
+                keys = np.frombuffer(data, np.uint8)[at[0] : at[-1]].reshape(-1, KEY_BYTES)
+                seen.add(keys, batch.column(1).to_numpy(zero_copy_only=False))
+        if seen.count:
+            yield pa.RecordBatch.from_pylist([seen.row(TaskContext.get().partitionId())], schema=arrow)
 
     rows = records.select(key_of(F.col(record)), crc(F.col(record)))
-    return rows.mapInArrow(run, "p int, first_key binary, last_key binary, record_count long, duplicate_count long, unordered_count long, checksum decimal(38,0)")
+    return rows.mapInArrow(run, SUMMARY)
+
+
+def merged_rows(rows: list[dict]) -> dict:
+    """merged() of summaries that are at hand already, one for each partition."""
+    rows = sorted((r for r in rows if r["record_count"]), key=lambda r: r["p"])
+    out = {"first_key": rows[0]["first_key"] if rows else None, "last_key": rows[-1]["last_key"] if rows else None}
+    out |= {c: sum(int(r[c]) for r in rows) for c in ("checksum", "record_count", "duplicate_count", "unordered_count")}
+    for a, b in zip(rows, rows[1:], strict=False):
+        out["duplicate_count"] += a["last_key"] == b["first_key"]
+        out["unordered_count"] += a["last_key"] > b["first_key"]
+    return out
 
 
 def summary_line(row: dict) -> str:

@@ -4,7 +4,8 @@ Reading: files under a path (or glob), in the order of their names, cut into spl
 partial record at the end of a file is dropped, or with strict=true an error. Writing: each partition
 writes objects <path>/<partition>/<chunk> of at most chunk_bytes (rounded down to whole records, one
 record at least); an empty partition writes none. Tasks write to a staging folder of their attempt; the driver moves the
-objects of the attempts that succeeded into place, so a task that is retried or run twice leaves no trace.
+objects of the attempts that succeeded into place, so a task that is retried or run twice leaves no trace. Rows that have
+a column crc beside record are validated as they are written; the partitions' summaries lie beside the manifest.
 
 Paths are local, or have the scheme of a store that pyarrow opens (s3, s3a, gs, hdfs); credentials come from the
 environment or the instance, never from options. A read that fails is opened again where it stopped.
@@ -25,11 +26,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from sortloom.functions.record import RECORD_BYTES
+from sortloom.functions.record import KEY_BYTES, RECORD_BYTES
+from sortloom.operators.validate import Running
 from sortloom.sources.gensort import as_binary
 
 BUFFER, SPLIT, RETRIES, LEAST_TIMEOUT = 8 << 20, 256 << 20, 3, 30.0
-MANIFEST, STAGING = "_manifest.json", "_staging"
+MANIFEST, SUMMARIES, STAGING = "_manifest.json", "_summaries.json", "_staging"
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -124,6 +126,7 @@ class Written(WriterCommitMessage):
     partition: int
     staged: str
     objects: list[tuple[str, int]]
+    summary: dict | None = None
 
 
 class FixedWriter(DataSourceArrowWriter):
@@ -140,9 +143,10 @@ class FixedWriter(DataSourceArrowWriter):
         store, base = opened(self.path)
         staged = f"{base}/{STAGING}/{self.job}/{task.partitionId()}-{task.taskAttemptId()}"
         objects: list[tuple[str, int]] = []
-        out, held = None, 0
+        out, held, seen = None, 0, Running()
         try:
             for batch in iterator:
+                crcs = batch.column(batch.schema.get_field_index("crc")) if "crc" in batch.schema.names else None
                 column = batch.column(batch.schema.get_field_index("record"))
                 column = column.cast(pa.binary())
                 _, offsets, data = column.buffers()
@@ -150,6 +154,9 @@ class FixedWriter(DataSourceArrowWriter):
                 if column.null_count or (np.diff(where) != RECORD_BYTES).any():
                     raise ValueError(f"a record must have {RECORD_BYTES} bytes")
                 at, end = int(where[0]), int(where[-1])
+                if crcs is not None and at < end:
+                    rows = np.frombuffer(data, np.uint8)[at:end].reshape(-1, RECORD_BYTES)
+                    seen.add(rows[:, :KEY_BYTES], crcs.to_numpy(zero_copy_only=False))
                 while at < end:
                     if out is None:
                         if not objects:
@@ -167,7 +174,8 @@ class FixedWriter(DataSourceArrowWriter):
                 out.close()
         if out is not None:
             objects.append((str(len(objects)), held))
-        return Written(task.partitionId(), staged, objects)
+        row = seen.row(task.partitionId())
+        return Written(task.partitionId(), staged, objects, {k: v.hex() if isinstance(v, bytes) else str(v) if k == "checksum" else v for k, v in row.items()} if seen.count else None)
 
     def commit(self, messages):
         store, base = opened(self.path)
@@ -179,15 +187,17 @@ class FixedWriter(DataSourceArrowWriter):
             self.abort(messages)
             raise FileExistsError(f"{base} holds objects already")
         store.create_dir(base, recursive=True)
-        manifest = []
+        manifest, summaries = [], []
         for m in sorted((m for m in messages if m), key=lambda m: m.partition):
             if m.objects:
                 store.create_dir(f"{base}/{m.partition}", recursive=True)
             for name, size in m.objects:
                 store.move(f"{m.staged}/{name}", f"{base}/{m.partition}/{name}")
                 manifest.append({"object_name": f"{m.partition}/{name}", "object_size": size})
-        with store.open_output_stream(f"{base}/{MANIFEST}") as out:
-            out.write(json.dumps(manifest).encode())
+            summaries += [m.summary] if m.summary else []
+        for name, rows in ((MANIFEST, manifest), (SUMMARIES, summaries)):
+            with store.open_output_stream(f"{base}/{name}") as out:
+                out.write(json.dumps(rows).encode())
         self._clean(store, base)
 
     def abort(self, messages):
@@ -223,6 +233,14 @@ def read(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.format("fixedrec").options(**{k: str(v) for k, v in options.items()}).load(path)
 
 
+def summaries(path: str) -> list[dict]:
+    """The summaries that the last write of rows with CRCs has left: p, keys as bytes, counts, checksum."""
+    store, base = opened(path.rstrip("/"))
+    with store.open_input_stream(f"{base}/{SUMMARIES}") as f:
+        rows = json.loads(f.read())
+    return [r | {"first_key": bytes.fromhex(r["first_key"]), "last_key": bytes.fromhex(r["last_key"]), "checksum": int(r["checksum"])} for r in rows]
+
+
 def write(records: DataFrame, path: str, overwrite: bool = True, **options) -> None:
     records.sparkSession.dataSource.register(FixedRecordSource)
-    records.select("record").write.format("fixedrec").options(**{k: str(v) for k, v in options.items()}).mode("overwrite" if overwrite else "append").save(path)
+    records.select("record", *(["crc"] if "crc" in records.columns else [])).write.format("fixedrec").options(**{k: str(v) for k, v in options.items()}).mode("overwrite" if overwrite else "append").save(path)

@@ -93,13 +93,23 @@ def test_one_shuffle_and_a_sort_that_stays(spark):
 
 def test_the_job_shuffles_once_and_sorts_once(spark):
     job = Job(8, input_count=1000)
-    rows, _ = V.observed(job.plan(spark))
-    plan = rows._jdf.queryExecution().executedPlan().toString()
-    lines = [x.strip(" +-:*()0123456789") for x in plan.splitlines()]
-    assert sum(x.startswith("Exchange") for x in lines) == 1 and sum(x.startswith("Sort ") for x in lines) == 1
-    exchange = next(x for x in plan.splitlines() if "Exchange" in x)
-    below = plan[plan.index(exchange) :]
-    assert "key#" not in below  # only the record and its partition are shuffled
+    for rows in (V.summaries_in_place(job.plan(spark)), V.observed(S.sort_records(generated(spark, 10), 8))[0]):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        lines = [x.strip(" +-:*()0123456789") for x in plan.splitlines()]
+        assert sum(x.startswith("Exchange") for x in lines) == 1 and sum(x.startswith("Sort ") for x in lines) == 1
+
+
+def test_observation_equals_the_summary(spark):
+    rows, seen = V.observed(S.sort_records(generated(spark, 2000), 8))
+    rows.write.format("noop").mode("overwrite").save()
+    assert V.summary_line(seen.get) == V.summary_line(Job(8, input_count=2000).run(spark))
+
+
+def test_summaries_at_hand_merge_as_the_frame_does(spark):
+    for n in (0, 1, 3000):
+        parts = V.summaries_in_place(generated(spark, n).repartition(3))
+        rows = [r.asDict() for r in parts.collect()]
+        assert V.summary_line(V.merged_rows(rows)) == V.summary_line(V.merged(spark.createDataFrame(rows, V.SUMMARY)).first().asDict())
 
 
 def test_an_order_that_is_broken_shows_in_the_observation(spark):
