@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +21,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLD = {ord(u): ord(l) for u, l in zip(UPPER, LOWER, strict=True)}
 
 
+#: Rows that Python workers get at a time while a table is kept.
+ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -73,14 +81,49 @@ def _own_root(spark: SparkSession) -> str:
 
 def kept(df: DataFrame) -> DataFrame:
     """The rows written as a table in the shared folder and read again: lineage ends, any executor may be lost."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path, conf = scratch(df.sparkSession), df.sparkSession.conf
+    was = conf.get(ARROW_ROWS)
+    conf.set(ARROW_ROWS, str(min(int(was), BATCH_ROWS) if int(was) > 0 else BATCH_ROWS))  # whole texts: fewer rows at a time
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(ARROW_ROWS, was)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def let_go(*frames: DataFrame) -> None:
+    """Deletes kept tables that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "kept_at", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            place = sc._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Marked for broadcast if a count proves it small; else as it is, for a shuffled join that Spark may split."""
-    return F.broadcast(df) if len(df.limit(max_rows + 1).select(F.lit(1)).collect()) <= max_rows else df
+    """Marked for broadcast if a count (of a kept table, so of its footers) proves it small; else as it is, for a shuffled join that Spark may split."""
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
+_held: dict[str, Callable[[], object]] = {}
+
+
+def alone(name: str, release: Callable[[], object]) -> None:
+    """For Python workers, which outlive tasks: tables that other operators have kept for their next task are let go.
+
+    name: the operator whose task begins; release: how its own tables are let go when another's task begins.
+    """
+    others = [k for k in _held if k != name]
+    for other in others:
+        _held.pop(other)()
+    if others:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries give memory back by themselves
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    _held[name] = release
 
 
 def one_line(sql: str) -> str:

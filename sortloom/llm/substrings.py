@@ -25,16 +25,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sortloom.llm import wordhash as H
-from sortloom.llm.common import kept, small, table
+from sortloom.llm.common import alone, kept, small, table
 
 #: Words of an anchor; hash rows of the sketch; cells of a row: between 2**MIN_BITS and 2**MAX_BITS.
 ANCHOR, ROWS, MIN_BITS, MAX_BITS, BLOCKS = 8, 2, 16, 27, 256
 #: Runs that a partition holds before it sends them on.
-CHUNK = 400_000
+CHUNK = 200_000
 #: Digests of copied texts up to which they are broadcast (about 20 MB).
 BROADCAST_ROWS = 300_000
 ALONE, FIRST, COPY = 0, 1, 2
@@ -62,14 +62,16 @@ def chosen(inside: np.ndarray, lowest: np.ndarray, g: np.ndarray, span: int) ->
     return np.flatnonzero((H.sliding(np.maximum, a, span) == g) & (g != 0))
 
 
-def flagged(docs: DataFrame) -> DataFrame:
-    """doc_id, text and state: alone, first of several copies, or another copy. Only digests and ids are shuffled."""
+def flagged(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, text and state: alone, first of several copies, or another copy; the texts' bytes). Only digests and ids are shuffled."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), F.unhex(F.md5("text")).alias("digest"))
-    copied = rows.where("text is not null").groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1").drop("n")
+    seen = Observation()
+    counted = rows.observe(seen, F.sum(F.octet_length("text")).alias("bytes"))  # in the pass that counts digests
+    copied = counted.where("text is not null").groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1").drop("n")
     copied = kept(copied)
     state = F.when(F.col("first_digest").isNull(), ALONE).when(F.col("doc_id").eqNullSafe(F.col("first_id")), FIRST).otherwise(COPY)
     joined = rows.join(small(copied.withColumnRenamed("digest", "first_digest"), BROADCAST_ROWS), F.col("digest") == F.col("first_digest"), "left")
-    return joined.select("doc_id", "text", state.cast("int").alias("state"))
+    return joined.select("doc_id", "text", state.cast("int").alias("state")), 0 if docs.isEmpty() else seen.get["bytes"] or 0
 
 
 def sketch(rows: DataFrame, width: int, size: int, bits: int) -> np.ndarray:
@@ -157,6 +159,7 @@ def second_pass(rows: DataFrame, bits: np.ndarray, width: int, size: int, row_bi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = shared.value
+        alone("substrings", lambda: None)
         base, row = TaskContext.get().partitionId() << 36, 0
         held: list[tuple[np.ndarray, ...]] = []
         waiting = 0
@@ -288,9 +291,8 @@ def cut_texts(rows: DataFrame, width: int, with_text: bool) -> DataFrame:
 def remove_repeated(docs: DataFrame, width: int, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row (and, if asked for, kept_text of the rows that were cut)."""
     size = min(ANCHOR, width)
-    rows = flagged(docs)
-    n_chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    expected = n_chars / 6 * 2 / (width - size + 2)  # words of six bytes or so; anchors' share of them
+    rows, n_bytes = flagged(docs)
+    expected = n_bytes / 6 * 2 / (width - size + 2)  # words of six bytes or so; anchors' share of them
     bits = int(min(MAX_BITS, max(MIN_BITS, np.ceil(np.log2(max(1.0, expected) * 4)))))
     found = kept(second_pass(rows, sketch(rows, width, size, bits), width, size, bits))
     runs = found.where(f"kind = {RUN}").select("h1", "h2", "uid", "pos", "len", "weight")
