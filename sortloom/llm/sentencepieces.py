@@ -22,21 +22,21 @@ import re
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortloom.llm.common import table
+from sortloom.llm.common import alone, table
 
 MARK = "▁"
 #: Texts over so many characters have an agenda of their own. A rank after all others.
 LONG, NEVER = 36, np.int32(2**31 - 1)
-#: Stretches in a worker's table before it becomes the older of two (together about 450 MB).
-REMEMBERED = 700_000
-FIRST, SECOND = itemgetter(0), itemgetter(1)
+#: How a table keeps ids.
+PACKED = np.dtype(np.uint32)
+#: Stretches in a worker's table before it becomes the older of two (together about 140 MB).
+REMEMBERED = 300_000
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_checked bigint, n_corrected bigint"
 
 
@@ -47,6 +47,10 @@ def public_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, PACKED).tobytes()
+
+
 class Encoder:
     """encode() gives a text's ids; `checked` and `corrected` count stretches held against the library."""
 
@@ -62,15 +66,19 @@ class Encoder:
             if lib.is_byte(i):
                 self.bytes[int(piece[3:-1], 16)] = i
             elif not (lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i)):
+                # Inside, the mark of a word's start is the blank that it stands for.
+                if " " in piece:
+                    raise ValueError("a vocabulary with blanks isn't supported")
+                piece = piece.replace(MARK, " ")
                 self.ids[piece], self.scores[piece] = i, lib.get_score(i)
         self.unknown = lib.unk_id()
         self.touching = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}
-        if any(MARK in p.lstrip(MARK) for p in self.ids):
+        if any(" " in p.lstrip(" ") for p in self.ids):
             raise ValueError("a vocabulary whose pieces run over word starts isn't supported")
         together = {c for pair in self.touching for c in pair}
-        alone = "".join(c for c in "\n\t\r| " if c not in together)
+        alone = "".join(c for c in "\n\t\r|" if c not in together)
         x = re.escape(alone)
-        self.stretches = re.compile(f"{MARK}+[^{MARK}{x}]*|[^{MARK}{x}]+" + (f"|[{x}]" if alone else "")).findall
+        self.stretches = re.compile(f" +[^ {x}]*|[^ {x}]+" + (f"|[{x}]" if alone else "")).findall
         self.decimals = [str(i) for i in range(n)]
         self._tables()
         self.remembered, self.check, self.known, self.older = remembered, check, {}, {}
@@ -146,8 +154,8 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NEVER), self.makes[at]
 
-    def agendas(self, parts: list[str]) -> list[list[int]]:
-        """agenda() of many short texts at once: a row each, in every round each row merges its best-scored pair, the leftmost of equals."""
+    def agendas(self, parts: list[str]) -> list[bytes]:
+        """agenda() of many short texts at once, as packed ids: a row each, in every round each row merges its best-scored pair, the leftmost of equals."""
         length = np.fromiter(map(len, parts), np.int64, len(parts))
         width = int(length.max())
         symbol = np.full((len(parts), width + 2), self.none, np.int32)
@@ -174,9 +182,9 @@ class Encoder:
             rank[left, prior], make[left, prior] = np.where(prior > 0, got[0], NEVER), got[1]
         inner = symbol[:, 1:-1]
         inner[np.arange(width) >= length[:, None]] = -1
-        flat, ends = inner[inner >= 0].tolist(), np.cumsum((inner >= 0).sum(1)).tolist()
+        flat, ends = inner[inner >= 0].astype(PACKED).tobytes(), (np.cumsum((inner >= 0).sum(1)) * PACKED.itemsize).tolist()
         odd = (inner >= len(self.decimals)).any(1).tolist()
-        return [self.agenda(p) if o else flat[s:e] for p, o, s, e in zip(parts, odd, [0, *ends], ends, strict=False)]
+        return [packed(self.agenda(p)) if o else flat[s:e] for p, o, s, e in zip(parts, odd, [0, *ends], ends, strict=False)]
 
     def learn(self, stretches: set[str]) -> None:
         """Encodes stretches that aren't in the table and checks them, all at once, against the library."""
@@ -186,36 +194,32 @@ class Encoder:
                 known[s] = older[s]
             else:
                 split[s] = self.apart(s)
-        todo = {p for parts in split.values() for p in parts}
-        for p in list(todo):
-            entry = known.get(p) or older.get(p)
-            if entry is not None:
-                new[p] = entry[0]
-                todo.discard(p)
         by_length: dict[int, list[str]] = {}
-        for p in todo:
-            by_length.setdefault(0 if len(p) > LONG else -(-len(p) // 6), []).append(p)
+        for p in {p for parts in split.values() for p in parts}:
+            ids = known.get(p) or older.get(p)
+            if ids is not None:
+                new[p] = ids
+            else:
+                by_length.setdefault(0 if len(p) > LONG else -(-len(p) // 6), []).append(p)
         for k, parts in by_length.items():
             for i in range(0, len(parts), 8192):
                 some = parts[i : i + 8192]
-                new |= zip(some, self.agendas(some) if k else map(self.agenda, some), strict=True)
-        spell = self.decimals.__getitem__
+                new |= zip(some, self.agendas(some) if k else map(packed, map(self.agenda, some)), strict=True)
         for s, parts in split.items():
-            ids = tuple(chain.from_iterable(map(new.__getitem__, parts))) if len(parts) > 1 else tuple(new[s])
-            known[s] = (ids, ",".join(map(spell, ids)))
-            for p in parts if len(parts) > 1 else ():
-                if p not in known:
-                    known[p] = (tuple(new[p]), ",".join(map(spell, new[p])))
-            new[s] = ids
-        new = {s: new[s] for s in split.keys() | todo}
-        if self.check and new:
+            if len(parts) > 1:
+                known |= ((p, new[p]) for p in parts)
+            known[s] = b"".join(map(new.__getitem__, parts))
+        if self.check and split:
             # The library puts a mark before a text: what starts with one is given without it.
-            asked = [s for s in new if s[0] == MARK and s != MARK]
+            asked = [s for s in split.keys() | {p for parts in by_length.values() for p in parts} if s[0] == " " and s != " "]
+            own = [known[s] if s in known else new[s] for s in asked]
+            answers = self.library.encode([s[1:] for s in asked], num_threads=1)
             self.checked += len(asked)
-            for s, ids in zip(asked, self.library.encode([s[1:].replace(MARK, " ") for s in asked], num_threads=1), strict=True):
-                if len(ids) != len(new[s]) or tuple(ids) != tuple(new[s]):
-                    self.corrected += 1
-                    known[s] = (tuple(ids), ",".join(map(str, ids)))
+            if b"".join(own) != packed(list(chain.from_iterable(answers))) or list(map(len, own)) != [len(x) * PACKED.itemsize for x in answers]:
+                for s, mine, theirs in zip(asked, own, map(packed, answers), strict=True):
+                    if mine != theirs:
+                        self.corrected += 1
+                        known[s] = theirs
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0][0]
@@ -224,15 +228,18 @@ class Encoder:
         """(ids, the same as decimals joined by commas) of each text."""
         if len(self.known) > self.remembered:
             self.older, self.known = self.known, {}
-        known, cut = self.known, [self.stretches(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        known, cut = self.known, [self.stretches(" " + t.replace(MARK, " ")) if t else [] for t in texts]
         if missing := {s for found in cut for s in found if s not in known}:
             self.learn(missing)
-        out = []
+        spell, out = self.decimals.__getitem__, []
         for found in cut:
-            entries = [known[s] for s in found]
-            out.append((list(chain.from_iterable(map(FIRST, entries))), ",".join(map(SECOND, entries))))
+            ids = np.frombuffer(b"".join(map(known.__getitem__, found)), PACKED).tolist()
+            out.append((ids, ",".join(map(spell, ids))))
         return out
 
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
 
 @cache
 def encoder(model: str) -> Encoder:
@@ -246,6 +253,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
+        alone("sentencepieces", enc.forget)
         gc.disable()  # the tables hold no cycles, and looking for some takes a seventh of the time
         try:
             yield from encoded(enc, batches)
