@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sortloom.llm import wordhash as H
-from sortloom.llm.common import kept, small, table
+from sortloom.llm.common import alone, kept, let_go, small, table
 
 CIRCLE, COORDINATES, BAND = 22, 128, 4
 BANDS = COORDINATES // BAND
@@ -88,6 +88,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n (of shingles), f1 and f2 (a fingerprint of the set), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("neardup", circle.cache_clear)
         for batch in batches:
             for i, j, data, offsets in H.blocks(batch.column(1)):
                 n, f1, f2, bands = [], [], [], []
@@ -120,8 +121,8 @@ def _beside(pairs: DataFrame, sets: DataFrame, work, schema: str) -> DataFrame:
     """The rows that work(set of a, set of b) gives for each of the distinct pairs (a, b): a's set is sent once for each group of its partners."""
     groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
     members = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), "b")
-    members = members.join(sets.withColumnRenamed("node", "b"), "b").select("a", "g", "b", "set")
-    heads = groups.join(sets.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(None).cast("bigint").alias("b"), "set")
+    heads = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(None).cast("bigint").alias("b"))
+    asked = heads.union(members).withColumn("node", F.coalesce("b", "a"))
     fields = [f.split() for f in schema.split(", ")]
     arrow = [{"bigint": pa.int64(), "binary": pa.binary()}[kind] for _, kind in fields]
 
@@ -142,8 +143,10 @@ def _beside(pairs: DataFrame, sets: DataFrame, work, schema: str) -> DataFrame:
                 columns = list(zip(*out, strict=True)) or [[]] * len(arrow)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow, strict=True)], names=[name for name, _ in fields])
 
-    streams = heads.union(members).repartition("a", "g").sortWithinPartitions("a", "g", F.col("b").asc_nulls_first())
-    return streams.mapInArrow(run, schema)
+    # The sets are joined once for both sides, and only those asked for are shuffled.
+    ids = kept(asked.select("node").distinct())
+    streams = asked.join(sets.join(small(ids, BROADCAST_IDS), "node", "left_semi"), "node").select("a", "g", "b", "set")
+    return streams.repartition("a", "g").sortWithinPartitions("a", "g", F.col("b").asc_nulls_first()).mapInArrow(run, schema)
 
 
 def _common(h: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -153,11 +156,8 @@ def _common(h: np.ndarray, s: np.ndarray) -> np.ndarray:
     return h[at] == s
 
 
-def measured(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of distinct pairs (a, b): na, nb, both (the sizes of their shingle sets and of the intersection)."""
-    pairs = kept(pairs)
-    ids = kept(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    sets = kept(_sets(docs, ids, size))
     return kept(_beside(pairs, sets, lambda h, s: [(len(h), len(s), int(_common(h, s).sum()))], "a bigint, b bigint, na bigint, nb bigint, both bigint"))
 
 
@@ -221,7 +221,7 @@ def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
     return old.union(new)
 
 
-def _left(docs: DataFrame, members: DataFrame, centres: DataFrame, tested: DataFrame, links: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
+def _left(sets: DataFrame, members: DataFrame, centres: DataFrame, tested: DataFrame, links: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of a bucket, in different components, that are neither tested nor ruled out."""
     sides = tested.select("a", "b", "na", "nb", "both").union(tested.select("b", "a", "nb", "na", "both"))
     degree = links.select(F.col("a").alias("c")).union(links.select("b")).groupBy("c").agg(F.count("*").alias("links"))
@@ -236,11 +236,11 @@ def _left(docs: DataFrame, members: DataFrame, centres: DataFrame, tested: DataF
     others = kept(others)
     # The reference itself is tested against every member, so pairs are among the others.
     pairs = kept(others.select(F.col("ref").alias("a"), F.col("node").alias("b")))
-    ids = kept(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    outside = _beside(pairs, kept(_sets(docs, ids, size)), lambda h, s: [(s[~_common(h, s)].tobytes(),)], "a bigint, b bigint, outside binary").toDF("ref", "node", "outside")
+    outside = _beside(pairs, sets, lambda h, s: [(s[~_common(h, s)].tobytes(),)], "a bigint, b bigint, outside binary").toDF("ref", "node", "outside")
     rows = kept(others.join(outside, ["ref", "node"]))
-    left = _possible(rows, percent).distinct()
-    return left.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    left = kept(_possible(rows, percent).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    let_go(placed, others, pairs, rows)
+    return left
 
 
 def _possible(rows: DataFrame, percent: int) -> DataFrame:
@@ -305,15 +305,20 @@ def link_classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, D
     orders = [F.min_by("node", F.xxhash64("node", F.lit(k)) if k else F.col("node")).alias(f"c{k}") for k in range(ORDERS)]
     centres = kept(members.groupBy("key").agg(*orders).select("key", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(ORDERS)]))).alias("c")))
     first = members.join(centres, "key").where("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-    tested = measured(docs, first, size)
+    first = kept(first)
+    # Whatever is verified later is a member of some bucket, so these sets serve to the end.
+    sets = kept(_sets(docs, kept(first.select(F.col("a").alias("node")).union(first.select("b")).distinct()), size))
+    tested = measured(first, sets)
     links = kept(linked(tested, percent))
     labels = kept(components(links))
-    left = kept(_left(docs, members, centres, tested, links, labels, size, percent))
-    more = kept(linked(measured(docs, left, size), percent)) if not left.isEmpty() else left
+    left = _left(sets, members, centres, tested, links, labels, percent)
+    more = kept(linked(measured(left, sets), percent)) if not left.isEmpty() else left
     if not more.isEmpty():
         labels = kept(_joined(labels, more))
     found = nodes.select("f1", "f2", "node").join(labels, "node", "left").select("f1", "f2", F.coalesce("label", "node").alias("component"))
-    return signed.select("doc_id", "n", "f1", "f2"), kept(found)
+    found = kept(found)
+    let_go(classes, members, centres, first, sets, tested, links, labels, left, more)
+    return signed.select("doc_id", "n", "f1", "f2"), found
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
