@@ -116,14 +116,13 @@ def alone(name: str, release: Callable[[], object]) -> None:
 
     name: the operator whose task begins; release: how its own tables are let go when another's task begins.
     """
-    others = [k for k in _held if k != name]
-    for other in others:
+    for other in [k for k in _held if k != name]:
         _held.pop(other)()
-    if others:
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # other C libraries give memory back by themselves
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
     _held[name] = release
+    # What the task before has freed goes back to the machine.
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries see to it by themselves
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def one_line(sql: str) -> str:

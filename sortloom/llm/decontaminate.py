@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sortloom.llm import wordhash as H
-from sortloom.llm.common import kept, table
+from sortloom.llm.common import alone, kept, table
 from sortloom.llm.neardup import LOWERED
 
 REPEATS, STRIDE, LEAST = 8, 2, 8
@@ -182,6 +182,7 @@ def _against(docs: DataFrame, items: list[tuple[int, str]], similarity: float) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
+        alone("decontaminate", lambda: None)
         for batch in batches:
             ids = batch.column(0)
             for i, _, data, offsets in H.blocks(batch.column(1)):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortloom.llm.common import table
+from sortloom.llm.common import alone, table
 
 #: Rows of each language to learn from, about; languages at most (the most frequent ones).
 SAMPLE, LANGUAGES = 400, 200
@@ -34,7 +34,7 @@ SWITCH, WORD_WEIGHT = 8.0, 0.3
 #: Share of a language's letters that a script must have to be one of its scripts.
 SCRIPT_SHARE = 0.02
 #: Words remembered by a worker; bytes of text labelled together.
-REMEMBERED, TOGETHER = 400_000, 12 << 20
+REMEMBERED, TOGETHER = 200_000, 6 << 20
 #: First and last code point of the letters of each script.
 SCRIPTS = {
     "Latin": [(0x41, 0x24F), (0x1E00, 0x1EFF), (0xFF21, 0xFF5A)],
@@ -144,6 +144,9 @@ class Model:
         self.rows.append(known)
         self.table.update(zip(new, range(start, start + len(new)), strict=True))
 
+    def forget(self) -> None:
+        self.table.clear(), self.rows.clear()
+
     def score_words(self, found: list[list[str]]) -> tuple[np.ndarray, list[np.ndarray]]:
         """(scores, one row per known word, the last column whether a language has its script; row numbers of each text's words)."""
         known = self.table
@@ -246,16 +249,16 @@ def held_out(doc_id) -> F.Column:
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """From rows (doc_id, text, lang): about `sample` of each language, whatever the size of the table."""
     rows = labelled.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    least = F.min_by("doc_id", F.xxhash64("doc_id", F.lit(5))).alias("least")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("count"), least).orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return Model.learn(iter(()))
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))])
     rate = F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0))
     picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < rate * float(1 << 30))
-    least = rows.groupBy("lang").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(5)).alias("h"), "doc_id")).alias("x")).select("lang", "x.doc_id").orderBy("lang").limit(LANGUAGES).collect()
     seen = picked.select("lang", "text").orderBy("lang", "text").collect()  # about sample * languages rows
     texts = [(r["lang"], r["text"]) for r in seen]
-    missing = {r["lang"]: r["doc_id"] for r in least} | {}
+    missing = {r["lang"]: r["least"] for r in counts}
     for language, _ in texts:
         missing.pop(language, None)
     if missing:  # a language so rare that the hash picked none
@@ -270,6 +273,7 @@ def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
+        alone("languages", known.forget)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             start, size = 0, 0
@@ -295,9 +299,10 @@ def spoken(docs: DataFrame, model: Model, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
+        alone("languages", known.forget)
         for whole in batches:
-            for i in range(0, whole.num_rows, 2048):
-                batch = whole.slice(i, 2048)
+            for i in range(0, whole.num_rows, 1024):
+                batch = whole.slice(i, 1024)
                 got, _ = known.decide([t or "" for t in batch.column(place).to_pylist()])
                 yield batch.filter(pa.array([language != "und" and score >= least for language, score in got], pa.bool_()))
 

@@ -32,7 +32,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             a[0] = 1
             made.append(np.multiply.accumulate(a))
         have = made[0], made[1]
-        if size <= 1 << 22:
+        if size <= 3 << 19:
             _powers[base] = have
     return have
 
