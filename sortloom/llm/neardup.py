@@ -122,7 +122,7 @@ def _beside(pairs: DataFrame, sets: DataFrame, work, schema: str) -> DataFrame:
     groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
     members = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), "b")
     heads = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(None).cast("bigint").alias("b"))
-    asked = heads.union(members).withColumn("node", F.coalesce("b", "a"))
+    asked = kept(heads.union(members).withColumn("node", F.coalesce("b", "a")))
     fields = [f.split() for f in schema.split(", ")]
     arrow = [{"bigint": pa.int64(), "binary": pa.binary()}[kind] for _, kind in fields]
 
