@@ -3,8 +3,8 @@ priority and containment.
 
 RULES are made from LICENSES and TEXTS: for each license a tag (`SPDX-License-Identifier: ...`), a statement (`licensed
 under the ...`) and a mention of its name; and signatures of licenses' own wording. A rule is tried on a text only
-if the rule's keyword is in it, and rules only on texts with one of ANCHORS. Of the detections one that
-lies within another of the same or a higher priority is suppressed (of equal places the higher priority, then
+if the rule's keyword is in it: a piece of a word that whatever the rule matches must hold (`needed`), so no match is lost. Of
+the detections one that lies within another of the same or a higher priority is suppressed (of equal places the higher priority, then
 the earlier rule, stays). A text's score is the greatest confidence of what stays.
 
 Base phrases are looked for apart from the rules, in the words of the text; their labels always stay.
@@ -16,7 +16,7 @@ results; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,12 +28,11 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 IN_WORD = r"[0-9a-z\x{80}-\x{10FFFF}]"
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-ANCHORS = ("licen", "copyright", "copyleft", "spdx", "gpl", "public domain", "creative commons", "cc by", "cc-by", "cc0", "warrant", "permission", "redistribut", "all rights reserved")
 #: Priorities: wording of the license itself or a tag, a statement, a mention. Confidence by priority.
 OWN, STATED, NAMED = 3, 2, 1
 CONFIDENCE = {OWN: 1.0, STATED: 0.9, NAMED: 0.6}
 
-#: label; keyword; name as a pattern (a blank stands for any separators); identifiers as a pattern.
+#: label; wished keyword; name as a pattern (a blank stands for any separators); identifiers as a pattern.
 LICENSES = [
     ("mit", "mit", r"mit(?: x11)? licen[sc]e|expat licen[sc]e|x11 licen[sc]e", r"mit(?: 0| cmu)?"),
     ("apache-1.1", "apache", r"apache (?:software )?licen[sc]e(?: version| v)? ?1 1", r"apache 1 1"),
@@ -126,7 +125,7 @@ LICENSES = [
     ("cc", "creative commons", r"creative commons", r"cc"),
 ]
 
-#: label; keyword; priority; wording of licenses and notices.
+#: label; wished keyword; priority; wording of licenses and notices.
 TEXTS = [
     ("mit", "permission is hereby granted", OWN, r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit", "sublicense", OWN, r"to use copy modify merge publish distribute sublicense and or sell"),
@@ -175,13 +174,30 @@ def spelled(pattern: str) -> str:
     return f"(?<![0-9a-z])(?:{pattern.replace(' ?', f'(?:{BETWEEN})?').replace(' ', BETWEEN)})(?![0-9a-z])"
 
 
+def pieces(pattern: str) -> list[list[str]]:
+    """For each alternative of a pattern the pieces of words that its every match holds; of groups none is relied on."""
+    flat = pattern.replace(" ?", "\0")
+    while (less := re.sub(r"\(\?:[^()]*\)\??", "\0", flat)) != flat:
+        flat = less
+    flat = re.sub(r"(?:\[[^\]]*\]|\.)(?:\{[^}]*\})?\??|[^\0]\?", "\0", flat)
+    return [re.findall("[0-9a-z]+", a) for a in flat.split("|")]
+
+
+def needed(wished: str, pattern: str) -> str:
+    """A keyword that every match of the pattern holds: the longest such word of the wished one, or else the longest there is."""
+    first, *others = pieces(pattern)
+    held = lambda k: all(any(k in piece for piece in a) for a in (first, *others))
+    words = [w for w in re.findall("[0-9a-z]+", wished) if len(w) > 3 and held(w)]
+    return max(words or [k for w in first for i in range(len(w)) for j in range(i, len(w)) if held(k := w[i : j + 1])], key=len, default="")
+
+
 def rules() -> list[tuple[str, str, int, str]]:
     """(label, keyword, priority, pattern), in order."""
-    out = [(label, keyword, priority, spelled(text)) for label, keyword, priority, text in TEXTS]
+    out = [(label, needed(wished, text), priority, spelled(text)) for label, wished, priority, text in TEXTS]
     out += [(label, "spdx", OWN, spelled(f"spdx license identifier (?:{ids})")) for label, _, _, ids in LICENSES]
     under = r"(?:licen[sc]ed|released|distributed|available|published|covered|provided|offered|shared) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
-    out += [(label, keyword, STATED, spelled(f"{under}(?:{name})")) for label, keyword, name, _ in LICENSES]
-    out += [(label, keyword, NAMED, spelled(name)) for label, keyword, name, _ in LICENSES]
+    out += [(label, max(needed(wished, name), "under", key=len), STATED, spelled(f"{under}(?:{name})")) for label, wished, name, _ in LICENSES]
+    out += [(label, needed(wished, name), NAMED, spelled(name)) for label, wished, name, _ in LICENSES]
     return out
 
 
@@ -198,8 +214,11 @@ def phrase_pattern() -> str:
 
 def detections(low: Column) -> Column:
     """array<struct<s, n, p, o, label>>: start, minus end, minus priority, rule's order, label of every match of every rule, sorted."""
-    listed = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(keyword).alias("keyword"), F.lit(-priority).alias("p"), F.lit(o).alias("o"), F.lit(pattern).alias("rx")) for o, (label, keyword, priority, pattern) in enumerate(rules())])
-    tried = F.filter(listed, lambda r: F.contains(low, r["keyword"]))
+    behind: dict[str, list[Column]] = {}
+    for o, (label, keyword, priority, pattern) in enumerate(rules()):
+        behind.setdefault(keyword, []).append(F.struct(F.lit(label).alias("label"), F.lit(-priority).alias("p"), F.lit(o).alias("o"), F.lit(pattern).alias("rx")))
+    listed = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*each).alias("rules")) for k, each in behind.items()])
+    tried = F.flatten(F.transform(F.filter(listed, lambda r: F.contains(low, r["keyword"])), lambda r: r["rules"]))
     found = F.flatten(F.transform(tried, lambda r: F.transform(matches(low, r["rx"]), lambda m: F.struct(m["s"].alias("s"), (-m["e"]).alias("n"), r["p"].alias("p"), r["o"].alias("o"), r["label"].alias("label")))))
     return F.sort_array(found)
 
@@ -223,9 +242,8 @@ def scan(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("t")).withColumn("low", F.lower("t"))
     empty = F.expr("cast(array() as array<struct<s: int, n: int, p: int, o: int, label: string>>)")
-    anchored = reduce(lambda a, b: a | b, [F.contains("low", F.lit(a)) for a in ANCHORS])
     rows = rows.withColumn("base", F.when(F.contains("low", F.lit("license")), matches(F.col("low"), phrase_pattern())).otherwise(F.expr("cast(array() as array<struct<s: int, e: int, v: string>>)")))
-    rows = rows.withColumn("found", F.when(anchored, detections(F.col("low"))).otherwise(empty))
+    rows = rows.withColumn("found", detections(F.col("low")))
     rows = rows.withColumn("stays", F.when(F.size("found") > 0, standing(F.col("found"))).otherwise(empty))
     words_before = lambda at: F.when(F.size("base") > 0, counted(F.concat(F.substr("low", F.lit(1), at["s"]), F.lit(" ")))).cast("bigint")
     base_labels = F.array_distinct(F.transform("base", lambda m: F.when(F.startswith(m["v"], F.lit("mit")), F.lit("mit")).when(F.startswith(m["v"], F.lit("apache")), F.lit("apache")).otherwise(F.lit("gpl"))))

@@ -67,3 +67,27 @@ def test_no_rows_and_a_very_common_line(spark):
     row = licenses.scan(spark.createDataFrame([(1, "Released under the MIT License.\n" * 2000)], "doc_id long, text string")).first()
     assert (row["n_base"], row["n_words"], row["last_word"]) == (2000, 10000, 9998)
     assert licenses.counted(F.lit("")) is not None
+
+
+def test_no_gate_costs_a_match(spark):
+    """The rules without any keyword, on wording that has no license word in it, or is wrapped as headers are."""
+    lines = [
+        "Released under 3-clause BSD.", "https://mozilla.org/MPL/2.0/", "https://www.eclipse.org/legal/epl-v20", "This program is freeware.", "proprietary and confidential", "without prior written consent",
+        "shall be included in all copies or substantial portions", "GNU General\n# Public License version 3", "put into the public\n * domain", "SIL Open\n  Font License", "GNU Free\n// Documentation License",
+        "Expat license", "Creative Commons Attribution 4.0", "PSF License", "Free Public License 1.0.0", "either version 2 or any later version", "provided 'as is', without any express or implied warranty",
+        "This software is provided 'as is', without any express or implied warranty", "Open RAIL-M License", "https://www.gnu.org/licenses/gpl-3.0", "nothing of the kind, 2 0 3 4",
+    ]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").unionByName(both(spark, 300).select("doc_id", "text"))
+    ungated = [(label, re.compile(pattern)) for label, _, _, pattern in licenses.rules()]
+    for text, r in zip([r["text"] or "" for r in docs.collect()], licenses.scan(docs).collect(), strict=True):
+        found = [(m.start(), m.end(), label) for label, rx in ungated for m in rx.finditer(text.lower())]
+        assert {(d["start"], d["end"], d["label"]) for d in r["detections"]} <= set(found), text
+        # Whatever is suppressed lies within what stays.
+        assert all(any(d["start"] <= s and e <= d["end"] for d in r["detections"]) for s, e, _ in found), text
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(docs.limit(len(lines))).collect()}
+    assert all(got[i] for i in range(len(lines)) if i not in (16, 20)) and got[0] == "bsd-3-clause" and got[7] == "gpl,gpl-3.0"
+
+
+def test_keywords_are_in_whatever_their_rules_match():
+    assert licenses.pieces("a(?:b|c)? d ?e [xy]f.{1,80}? g|h?i") == [["a", "d", "e", "f", "g"], ["i"]]
+    assert licenses.needed("bsd", "bsd licen[sc]e|freebsd(?: x)?") == "bsd" and licenses.needed("q", "a|b") == ""
