@@ -1,16 +1,12 @@
-"""Benchmark items in documents, up to edits: the CGK embedding, bit-sampling LSH and exact verification.
+"""Benchmark items in documents, up to edits: exact seeds from every place, and exact verification.
 
 Symbols are words (runs of ASCII digits and letters, A-Z lower-cased, and other characters beyond ASCII).
-The CGK random walk reads a window: at step j it writes the word it stands on and moves on if bit j of
-that word's random bits is set, so that strings few edits apart become strings few places apart. Each of
-REPEATS repetitions has random bits of its own and samples COORDINATES steps, one from each part of the
-walk; windows whose samples are equal collide. Walks are as long as the shortest window of their class
-allows, so a window of an item's size never ends before its walk.
+An item that may take k edits is cut into k + 1 pieces of nearly equal length. Each edit spoils one piece at
+most, so any passage within the threshold holds a piece unedited, as a run of words: runs of each piece's length
+are looked up from every word of a document. No passage is lost, whatever its length, place or edits.
 
-An item is entered from each of its words on, and a document's windows start at every STRIDE-th word, so
-every stretch of a passage that edits have left alone is a chance to collide. For a passage with a fifth
-of its words changed a window collides in a repetition about one time in five; an item of 24 words or
-more has at least six windows times REPEATS repetitions, so recall is over 0.99 (see the tests).
+The walk of the CGK embedding (`walk_keys`), whose samples found passages with a probability only, isn't used
+for the search.
 
 Every collision is verified exactly: the least number of word edits between the item and any stretch of
 the document around the window (Myers' bit-parallel algorithm). A document is contaminated by an item if
@@ -35,7 +31,7 @@ from sortloom.llm import wordhash as H
 from sortloom.llm.common import alone, kept, table
 from sortloom.llm.neardup import LOWERED
 
-REPEATS, STRIDE, LEAST = 8, 2, 8
+REPEATS, LEAST = 8, 8
 #: Steps of the walk and sampled coordinates, by the least size of a class of items.
 CLASSES = {24: (24, 4), 14: (14, 3), LEAST: (LEAST, 3)}
 BLOCK_ITEMS = 20_000
@@ -94,15 +90,22 @@ def edits_within(masks: dict[int, int], n: int, words: list[int], most: int) ->
     return best
 
 
+def cut(n: int, parts: int) -> list[tuple[int, int]]:
+    """(first word, length) of nearly equal pieces of n words, no piece empty."""
+    parts = min(parts, n)
+    edges = [n * k // parts for k in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+
+
 class Items:
-    """A block of benchmark items: their words, and their windows' keys in each repetition."""
+    """A block of benchmark items: their words, and the hashes of their pieces by length."""
 
     def __init__(self, items: list[tuple[int, str]], similarity: float):
         raw = [t.encode() for _, t in items]
         offsets = np.cumsum([0, *map(len, raw)])
         hashes, at = text_words(np.frombuffer(b"".join(raw), np.uint8), offsets)
         self.ids, self.words, self.masks, self.most = [], [], [], []
-        entries: list[tuple[int, int, int]] = []  # class, item, first word
+        pieces: dict[int, list[tuple[int, int, int]]] = {}  # by length: item, word of the item, word of the block
         flat, base = [], 0
         for (item_id, _), s, e in zip(items, at[:-1].tolist(), at[1:].tolist(), strict=True):
             w = hashes[s:e]
@@ -111,47 +114,39 @@ class Items:
             masks: dict[int, int] = {}
             for k, x in enumerate(w.tolist()):
                 masks[x] = masks.get(x, 0) | 1 << k
-            c = next(c for c in CLASSES if len(w) >= c)
-            entries += [(c, len(self.ids), base + k) for k in range(len(w) - CLASSES[c][0] + 1)]
-            self.ids.append(item_id), self.words.append((base, len(w))), self.masks.append(masks), self.most.append(int((1 - similarity) * len(w) + 1e-9))
+            most = int((1 - similarity) * len(w) + 1e-9)
+            for k, n in cut(len(w), most + 1):
+                pieces.setdefault(n, []).append((len(self.ids), k, base + k))
+            self.ids.append(item_id), self.words.append((base, len(w))), self.masks.append(masks), self.most.append(most)
             flat.append(w)
             base += len(w)
-        self.classes = sorted({c for c, _, _ in entries}, reverse=True)
-        self.tables: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = []
         words = np.concatenate([np.zeros(0, H.U), *flat])
-        for repeat in range(REPEATS):
-            row = []
-            for c in self.classes:
-                own = np.array([(i, s) for x, i, s in entries if x == c], np.int64)
-                key = walk_keys(words, own[:, 1], repeat, [c])[c]
-                order = np.argsort(key, kind="stable")
-                seen = np.zeros(1 << 20, bool)
-                seen[(key >> H.U(40)).astype(np.int64) & 0xFFFFF] = True
-                first = np.array([self.words[i][0] for i in own[order, 0]], np.int64)
-                row.append((key[order], own[order, 0], own[order, 1] - first, seen))
-            self.tables.append(row)
-
-    def collisions(self, words: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(place, item, word of the item at that place) of colliding windows."""
-        for repeat in range(REPEATS):
-            keys = walk_keys(words, starts, repeat, self.classes)
-            for c, (known, item, offset, seen) in zip(self.classes, self.tables[repeat], strict=True):
-                key = keys[c]
-                maybe = np.flatnonzero(seen[(key >> H.U(40)).astype(np.int64) & 0xFFFFF])
-                low, high = np.searchsorted(known, key[maybe], "left"), np.searchsorted(known, key[maybe], "right")
-                n = high - low
-                if n.any():
-                    at = np.repeat(maybe, n)
-                    entry = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-                    yield starts[at], item[entry], offset[entry]
+        self.tables: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for n, each in sorted(pieces.items()):
+            item, offset, first = np.array(each, np.int64).T
+            key = H.run_hashes(words, n)[first]
+            order = np.argsort(key, kind="stable")
+            seen = np.zeros(1 << 22, bool)
+            seen[(key >> H.U(40)).astype(np.int64) & 0x3FFFFF] = True
+            self.tables.append((n, key[order], item[order], offset[order], seen))
+
+    def collisions(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place, item, word of the item at that place) of each run of words in a text that is a piece of an item."""
+        for size, known, item, offset, seen in self.tables:
+            key = H.run_hashes(words, size)
+            maybe = np.flatnonzero(seen[(key >> H.U(40)).astype(np.int64) & 0x3FFFFF] & H.runs_inside(at, size, len(words))[: len(key)])
+            low, high = np.searchsorted(known, key[maybe], "left"), np.searchsorted(known, key[maybe], "right")
+            n = high - low
+            if n.any():
+                place = np.repeat(maybe, n)
+                entry = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+                yield place, item[entry], offset[entry]
 
     def matches(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, edits, first word of the stretch) of each text and item that match, by the fewest edits, then the first place."""
         if not self.ids or not len(words):
             return
-        inside = np.arange(len(words)) - np.repeat(at[:-1], np.diff(at))
-        starts = np.flatnonzero(inside % STRIDE == 0)
-        found = [np.stack(x) for x in self.collisions(words, starts)]
+        found = [np.stack(x) for x in self.collisions(words, at)]
         if not found:
             return
         place, item, offset = np.concatenate(found, axis=1)

@@ -105,3 +105,18 @@ def test_blocks_of_items_and_empty_sides(spark, monkeypatch):
     assert sorted(map(tuple, D.contaminated(docs, items).collect()), key=str) == whole
     assert D.contaminated(empty(spark), items).count() == 0
     assert D.contaminated(docs, spark.createDataFrame([(1, None), (2, ""), (3, "few words")], "item_id long, text string")).count() == 0
+
+
+def test_no_passage_within_the_threshold_is_missed():
+    """Items of each length from the least on, with as many edits as they may take, from even and odd places."""
+    rng = random.Random(6)
+    names = [f"w{k}" for k in range(3000)]
+    items = [(n * 100 + k, " ".join(rng.choices(names, k=n))) for n in range(D.LEAST, 61) for k in range(8)]
+    block = D.Items(items, 0.8)
+    raw = []
+    for k, (i, t) in enumerate(items):
+        raw.append(" ".join(rng.choices(names, k=20 + k % 2) + edited(rng, t, len(words(t)) // 5, names) + rng.choices(names, k=9)).encode())
+    found = {(t, block.ids[i]): e for t, i, e, _ in block.matches(*D.text_words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])))}
+    for k, (i, t) in enumerate(items):
+        least = least_edits(words(t), words(raw[k].decode()))
+        assert least <= len(words(t)) // 5 and found[k, i] == least
