@@ -120,3 +120,11 @@ def test_no_passage_within_the_threshold_is_missed():
     for k, (i, t) in enumerate(items):
         least = least_edits(words(t), words(raw[k].decode()))
         assert least <= len(words(t)) // 5 and found[k, i] == least
+
+
+def test_short_items_are_found(spark):
+    items = [(1, "Paris"), (2, "forty two"), (3, "the red door opens"), (4, "who wrote the long letter"), (5, "one two three four five six seven"), (6, "forty two"), (7, " - "), (8, "two")]
+    rows = [(1, "In PARIS, in Paris: forty-two. Forty two!"), (2, "forty, or two; who wrote that long letter"), (3, "parish the red door. opens one two four five six seven"), (4, None), (5, "door opens the red"), (None, "paris")]
+    got = {(r["doc_id"], r["item_id"]): (r["edits"], r["first_word"]) for r in D.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == brute_contaminated(rows, items, 0.8)
+    assert got[1, 1] == (0, 1) and got[1, 2] == got[1, 6] == (0, 4) and got[2, 4][0] == got[3, 5][0] == 1 and (1, 7) not in got and (None, 1) in got
