@@ -9,8 +9,9 @@ folder and read again. All stages but the last return the columns of documents.
 4. personal data: spans are replaced by their kind; n_chars follows the text.
 5. tokens: ids of the text, checked against their library, and the digest of what they decode to.
 
-Defined results: null and empty texts go at the first stage; rows without doc_id stay unless they repeat another's text or are
-linked to a document with an id; rows that repeat an id and text count as one; an empty table gives an empty table.
+Defined results: null and empty texts go at the first stage; every row is decided by its own text, whether
+its doc_id is missing or repeated; of linked rows without doc_id, or with the same, one stays, and ids go before none; rows that
+repeat an id and text count as one; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,20 +33,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(COLUMNS)
-    stay = kept(neardup.near_duplicates(docs, size=5, percent=80).where("kept").select(F.col("doc_id").alias("id")).distinct())
-    rows = docs.join(small(stay, neardup.BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    # Only ids that occur twice, or none, can leave equal rows: the rest isn't shuffled.
-    twice = kept(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id")))
-    if twice.isEmpty():
-        return rows
-    again = F.col("doc_id").eqNullSafe(F.col("id"))
-    return rows.join(small(twice, neardup.BROADCAST_IDS), again, "left_anti").union(rows.join(small(twice, neardup.BROADCAST_IDS), again, "left_semi").dropDuplicates(["doc_id", "text"]))
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        rows = docs.withColumn("row", F.col("doc_id").cast("bigint"))
+    else:  # ids don't tell rows apart: numbers in the order of ids do, and are written down with the rows
+        order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+        rows = kept(docs.dropDuplicates(["doc_id", "text"]).orderBy(*order).withColumn("row", F.monotonically_increasing_id()))
+    found = neardup.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), size=5, percent=80)
+    stay = kept(found.where("kept").select(F.col("doc_id").alias("row")))
+    return rows.join(small(stay, neardup.BROADCAST_IDS), "row", "left_semi").select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(COLUMNS)
-    found = kept(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("id")).distinct())
-    return docs.join(small(found, neardup.BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
+    return decontaminate.uncontaminated(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -197,22 +197,52 @@ def _against(docs: DataFrame, items: list[tuple[int, str]], similarity: float) -
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, FOUND)
 
 
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark's items in blocks, one at least."""
+    block, n = [], 0
+    for item_id, text in benchmark.where("text is not null").select(F.col("item_id").cast("bigint"), "text").toLocalIterator():
+        block.append((item_id, text))
+        if len(block) == BLOCK_ITEMS:
+            yield block
+            block, n = [], n + 1
+    if block or not n:
+        yield block
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
     """A row for each document and item that it holds: doc_id, item_id, edits, item_words, first_word, similarity."""
-    parts, block = [], []
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("bigint"), "text")
-    for item_id, text in items.toLocalIterator():
-        block.append((item_id, text))
+    out = None
+    for block in _blocks(benchmark):
+        found = _against(docs, block, similarity)
         if len(block) == BLOCK_ITEMS:
-            parts.append(kept(_against(docs, block, similarity)))
-            block = []
-    if block or not parts:
-        parts.append(_against(docs, block, similarity))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+            found = kept(found)
+        out = found if out is None else out.union(found)
     return out
 
 
+def _without(docs: DataFrame, items: list[tuple[int, str]], similarity: float) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(Items(items, similarity))
+    at_text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value
+        alone("decontaminate", lambda: None)
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            for i, _, data, offsets in H.blocks(batch.column(at_text)):
+                for t, *_ in block.matches(*text_words(data, offsets)):
+                    clean[i + t] = False
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs whose own text holds no item, whatever their ids."""
+    for block in _blocks(benchmark):
+        docs = _without(docs, block, similarity)
+    return docs
+
+
 def op1_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -51,3 +51,20 @@ def test_run_and_no_rows(spark, tmp_path):
     for _, stage in C.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_rows_are_decided_by_themselves_whatever_their_ids(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    told = [" ".join(f"{name}{k}" for k in range(30)) for name in ("alpha", "beta", "gamma", "delta")]
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], shape)
+    ids_and_texts = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    held = [(None, f"before {item} after"), (1, item)]
+    clean = [(None, told[0]), (None, told[1]), (1, told[2]), (2, told[3])]
+    assert ids_and_texts(C.decontamination(spark, frame(held + clean), SF)) == sorted(clean, key=str)
+    # Copies of a document with an id, copies among rows without, near copies, an id twice.
+    rows = [(5, told[0]), (None, told[0]), (None, told[1]), (None, told[1] + " more"), (7, told[2]), (7, told[3]), (7, told[3]), (8, told[3])]
+    got = ids_and_texts(C.near_duplicates(spark, frame(rows), SF))
+    one = [t for i, t in got if i is None]
+    assert [g for g in got if g[0] is not None] == sorted([(5, told[0]), (7, told[2]), (7, told[3])], key=str)
+    assert len(one) == 1 and one[0] in (told[1], told[1] + " more")
