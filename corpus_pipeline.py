@@ -7,7 +7,7 @@ folder and read again. All stages but the last return the columns of documents.
 2. near duplicates: of documents linked by five-word shingles at a similarity of 0.8 one stays, that with the smallest doc_id.
 3. decontamination: documents that hold a benchmark item, up to a fifth of its words in edits, go.
 4. personal data: spans are replaced by their kind; n_chars follows the text.
-5. tokens: ids of the text, checked against their library, and the digest of what they decode to.
+5. tokens: ids of the text, checked against their library where a stretch begins with a blank, and the digest of what they decode to.
 
 Defined results: null and empty texts go at the first stage; every row is decided by its own text, whether
 its doc_id is missing or repeated; of linked rows without doc_id, or with the same, one stays, and ids go before none; rows that

@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding of merge-type (BPE) vocabularies.
 
 The encoder is a score-ordered agenda of adjacent symbol pairs. Every distinct stretch of text that
-it encodes is checked, in Arrow batches, against the sentencepiece library.
+it encodes and that begins with a blank is checked, in Arrow batches, against the sentencepiece library; other
+stretches (after a newline, tab, carriage return or `|`) are not.
 
 Where a merge can happen is known beforehand: a merge makes a vocabulary piece, so two neighbouring
 characters that stand next to each other in no piece are never merged, and a text falls apart at such
