@@ -45,7 +45,7 @@ def text_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     """(hash of each word, number of words before each text)."""
     data = LOWERED[data]
     starts, ends, at = H.words(data, offsets, SEPARATES)
-    return H.word_hashes(data, starts, ends), at
+    return H.word_hashes(data, starts, ends)[0], at
 
 
 def samples(steps: int, n: int, repeat: int) -> list[int]:

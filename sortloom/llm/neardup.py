@@ -73,7 +73,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[n
     """The distinct shingle hashes of each text, sorted."""
     data = LOWERED[data]
     starts, ends, at = H.words(data, offsets)
-    hashes = H.word_hashes(data, starts, ends)
+    hashes = H.word_hashes(data, starts, ends)[0]
     runs = H.run_hashes(hashes, size)
     for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         if e - s >= size:

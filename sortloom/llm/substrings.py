@@ -5,13 +5,15 @@ Method: a count-min sketch as prefilter. Each run is represented by its anchor,
 with the smallest hash among those inside it; equal runs have equal anchors, at different places, so the
 number of places at which an anchor is chosen is never less than the number of times any of its runs
 occurs. Every partition sketches its anchors; the merged sketch overestimates counts and misses none. A
-second pass exactly groups, by a 128-bit fingerprint, only runs whose anchor is estimated to be repeated.
+second pass exactly groups only runs whose anchor is estimated to be repeated, by a fingerprint of 128 bits in two
+independent lanes (`wordhash`): words of any length count with all their bytes, and no run is taken for another but
+by chance, 1e-12 over 1e13 runs.
 
 For scale: partitions send the non-empty cells of their sketches only; cells are merged block by block,
 and one bit a cell (seen twice or more) goes back to the executors, at most ROWS * 2**MAX_BITS / 8 bytes
 however large the input. Beyond that width the estimate only grows looser, the result is the same.
-Rows that are whole copies of each other are settled by a digest, and a run that occurs again within a
-chunk of a partition is settled there: of a very common passage each chunk sends one row.
+Rows that are whole copies of each other are settled by their SHA-256, and a run that occurs again within a
+chunk of a partition is settled there; of a very common passage a task sends one row, whatever the number of its chunks.
 
 Defined results: null text has no words, nothing is removed and the kept text is empty; texts shorter
 than `width` words lose nothing; repeated rows are copies of each other; an empty table gives an empty table.
@@ -35,6 +37,8 @@ from sortloom.llm.common import alone, kept, small, table
 ANCHOR, ROWS, MIN_BITS, MAX_BITS, BLOCKS = 8, 2, 16, 27, 256
 #: Runs that a partition holds before it sends them on.
 CHUNK = 200_000
+#: Repeated runs that a task remembers having sent on.
+SENT = 1 << 18
 #: Digests of copied texts up to which they are broadcast (about 20 MB).
 BROADCAST_ROWS = 300_000
 ALONE, FIRST, COPY = 0, 1, 2
@@ -64,7 +68,7 @@ def chosen(inside: np.ndarray, lowest: np.ndarray, g: np.ndarray, span: int) ->
 
 def flagged(docs: DataFrame) -> tuple[DataFrame, int]:
     """(doc_id, text and state: alone, first of several copies, or another copy; the texts' bytes). Only digests and ids are shuffled."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), F.unhex(F.md5("text")).alias("digest"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), F.unhex(F.sha2("text", 256)).alias("digest"))
     seen = Observation()
     counted = rows.observe(seen, F.sum(F.octet_length("text")).alias("bytes"))  # in the pass that counts digests
     copied = counted.where("text is not null").groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1").drop("n")
@@ -99,7 +103,7 @@ def sketch(rows: DataFrame, width: int, size: int, bits: int) -> np.ndarray:
                 starts, ends, at = H.words(data, offsets)
                 if len(starts) < width:
                     continue
-                inside, lowest, g = anchors(H.word_hashes(data, starts, ends), at, width, size)
+                inside, lowest, g = anchors(H.word_hashes(data, starts, ends)[0], at, width, size)
                 place = chosen(inside, lowest, g, width - size + 1)
                 of = state[i:j][np.searchsorted(at, place, "right") - 1]
                 for c in cells(g[place[of == ALONE]], bits):
@@ -163,6 +167,7 @@ def second_pass(rows: DataFrame, bits: np.ndarray, width: int, size: int, row_bi
         base, row = TaskContext.get().partitionId() << 36, 0
         held: list[tuple[np.ndarray, ...]] = []
         waiting = 0
+        sent = np.zeros((2, SENT), H.U)
 
         def flush() -> Iterator[pa.RecordBatch]:
             """Groups what this partition holds: runs that occur twice here are settled here."""
@@ -181,6 +186,13 @@ def second_pass(rows: DataFrame, bits: np.ndarray, width: int, size: int, row_bi
             one = np.ones(len(lone), np.int32)
             yield _batch(RUN, len(lone), h1=h1[lone].view(np.int64), h2=h2[lone].view(np.int64), uid=uid[lone], pos=pos[lone], len=one, weight=one)
             rep = first[many]
+            slot = (h1[rep] & H.U(SENT - 1)).astype(np.int64)
+            fresh = (sent[0, slot] != h1[rep]) | (sent[1, slot] != h2[rep])
+            rep, slot = rep[fresh], slot[fresh]
+            # Where two share a place the last one stays in both rows.
+            _, last = np.unique(slot[::-1], return_index=True)
+            last = len(slot) - 1 - last
+            sent[0, slot[last]], sent[1, slot[last]] = h1[rep[last]], h2[rep[last]]
             yield _batch(RUN, len(rep), h1=h1[rep].view(np.int64), h2=h2[rep].view(np.int64), weight=np.full(len(rep), 2, np.int32))
             back = np.repeat(many, n) & (of == ALONE)
             uid, pos = uid[back], pos[back]
@@ -198,7 +210,7 @@ def second_pass(rows: DataFrame, bits: np.ndarray, width: int, size: int, row_bi
                 n, state = np.diff(at), states[i:j]
                 candidate = np.zeros(0, np.int64)
                 if len(starts) >= width:
-                    hashes = H.word_hashes(data, starts, ends)
+                    hashes, hashes2 = H.word_hashes(data, starts, ends)
                     inside, lowest, _ = anchors(hashes, at, width, size)
                     place = np.flatnonzero(inside)
                     text_of = np.searchsorted(at, place, "right") - 1
@@ -209,8 +221,8 @@ def second_pass(rows: DataFrame, bits: np.ndarray, width: int, size: int, row_bi
                         ok &= _bit(seen, c)
                     candidate, text_of = place[ok], text_of[ok]
                     if len(candidate):
-                        h1 = H.run_hashes(hashes, width, H.WORDS, 7)[candidate]
-                        h2 = H.run_hashes(hashes, width, H.WORDS2, 11)[candidate]
+                        h1 = H.run_hashes(hashes, width, H.WORDS)[candidate]
+                        h2 = H.run_hashes(hashes2, width, H.WORDS2)[candidate]
                         held.append((h1, h2, base + row + i + text_of, (candidate - at[text_of]).astype(np.int32), state[text_of]))
                         waiting += len(candidate)
                 hit = np.zeros(j - i, bool)

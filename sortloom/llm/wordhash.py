@@ -1,12 +1,16 @@
 """Hashes of words and of runs of words, for whole blocks of texts at once (numpy, no loop over words).
 
 A block is the bytes of some texts one after the other. Words are what ASCII white space separates.
-A word's hash is a polynomial in its bytes modulo 2**64, finished by a mixing step; the hash of a run of
-words is a polynomial in its words' hashes. Both come from running sums, so every run costs the same.
+A word's hash has 128 bits in two lanes. Its bytes are taken eight at a time; each lane adds them to its state and
+mixes the state by a bijection of its own, and the word's length comes last; words of more than CHAINED bytes
+have their BLAKE2b. So words of up to eight bytes never share a lane with others of their length, and no pattern of bytes,
+however long, makes two words meet but by chance (2**-128 a pair). The hash of a run of words is a polynomial in
+its words' hashes, from running sums, so that every run costs the same; a lane each makes a fingerprint of 128 bits.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +20,11 @@ import pyarrow.compute as pc
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-#: Odd multipliers of the polynomials: of bytes, and of words for two independent fingerprints.
-BYTES, WORDS, WORDS2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
+#: Odd multipliers of the polynomials, one for each lane.
+WORDS, WORDS2 = 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
+#: Bytes up to which a word is hashed in steps of eight; for each number of bytes the bits that hold them.
+CHAINED = 64
+HELD = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -82,21 +89,33 @@ def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    pw, inverse = powers(BYTES, len(data) + 1)
-    sums = np.empty(len(data) + 1, U)
-    sums[0] = 0
-    np.cumsum((data.astype(U) + U(1)) * pw[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
-
-
-def run_hashes(hashes: np.ndarray, n: int, base: int = WORDS, seed: int = 0) -> np.ndarray:
-    """The hash of each run of n words by its first word (of all words of the block, over texts' ends too)."""
+    """Two rows of 64 bits: the lanes of each word's hash."""
+    length = ends - starts
+    eights = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    lanes = np.zeros((2, len(starts)), U)
+    left = np.flatnonzero(length <= CHAINED)
+    for at in range(0, CHAINED, 8):
+        left = left[length[left] > at]
+        if not len(left):
+            break
+        x = eights[starts[left] + at] & HELD[np.minimum(length[left] - at, 8)]
+        for k in (0, 1):
+            lanes[k, left] = mix(lanes[k, left] + x, 61 + k)
+    for k in (0, 1):
+        lanes[k] = mix(lanes[k] + length.astype(U), 63 + k)
+    for i in np.flatnonzero(length > CHAINED).tolist():
+        lanes[:, i] = np.frombuffer(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest(), U)
+    return lanes
+
+
+def run_hashes(hashes: np.ndarray, n: int, base: int = WORDS) -> np.ndarray:
+    """The hash of each run of n words by its first word (of all words of the block, over texts' ends too), from one lane."""
     if len(hashes) < n:
         return np.zeros(0, U)
     pw, inverse = powers(base, len(hashes) + 1)
     sums = np.empty(len(hashes) + 1, U)
     sums[0] = 0
-    np.cumsum((mix(hashes, seed) if seed else hashes) * pw[: len(hashes)], out=sums[1:])
+    np.cumsum(hashes * pw[: len(hashes)], out=sums[1:])
     return mix((sums[n:] - sums[:-n]) * inverse[: len(hashes) - n + 1], n)
 
 

@@ -5,6 +5,7 @@ import numpy as np
 from sortloom.llm import neardup
 from sortloom.llm import wordhash as H
 from tests.llm.helpers import both, duck, empty, odd, same
+from tests.llm.test_substrings import thue_morse
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = {c: c + 32 for c in range(65, 91)}
@@ -61,6 +62,26 @@ def test_a_large_group_of_near_copies_loses_no_link(spark):
     assert got == want and 1 < len(set(want.values())) < 160
 
 
+def test_long_words_count_with_all_their_bytes(spark):
+    x, y = thue_morse("a", "b")
+    rows = [(1, f"the {x} end of it"), (2, f"the {y} end of it"), (3, x), (4, y), (5, x)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3} == brute_components(rows, 2)
+
+
+def test_bands_meet_as_independent_coordinates_would():
+    """Pairs at the threshold that share few bands: circulant coordinates, neighbours in a band, miss no more than others do."""
+    rng, n, few = np.random.default_rng(11), 400, 0
+    shared = []
+    for _ in range(n):
+        both, a, b = (rng.integers(0, 2**63, k).astype(H.U) for k in (160, 20, 20))
+        keys = [neardup.band_keys(neardup.signature(np.concatenate([both, x]))) for x in (a, b)]
+        shared.append(int((keys[0] == keys[1]).sum()))
+    few = sum(s < 4 for s in shared)
+    # 32 bands that each meet with 0.8**4: 13 of 32 on average, fewer than 4 about once in 7,000.
+    assert min(shared) > 0 and few <= 6 and abs(np.mean(shared) - 32 * 0.8**4) < 1.5
+
+
 def test_signatures_agree_as_similarity_says():
     rng = np.random.default_rng(1)
     shared, a, b = (rng.integers(0, 2**63, n).astype(H.U) for n in (600, 200, 200))

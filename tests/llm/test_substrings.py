@@ -76,6 +76,26 @@ def test_odd_and_no_rows(spark):
     assert got(S.remove_repeated(odd(spark), 35)) == brute([(r["doc_id"], r["text"]) for r in odd(spark).collect()], 35)
 
 
+def thue_morse(a, b):
+    """1024 characters, and the same with a and b exchanged: equal for any polynomial modulo 2**64 with an odd base."""
+    x = "".join((a, b)[bin(i).count("1") & 1] for i in range(1024))
+    return x, x.translate({ord(a): b, ord(b): a})
+
+
+def test_long_words_count_with_all_their_bytes(spark):
+    x, y = thue_morse("a", "b")
+    around = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join([*around[:20], x, *around[20:]])), (2, " ".join([*around[:20], y, *around[20:], "more"]))]
+    rows += [(3, "c" * 64 + " " + " ".join(around[:10])), (4, "c" * 65 + " " + " ".join(around[:10])), (5, "d" * 8 + " e"), (6, "d" * 7 + " e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for width in (35, 2, 1):
+        assert got(S.remove_repeated(docs, width)) == brute(rows, width)
+    words = [x, y, x[:64], y[:64], x[:63], x[:65], *("a" * n for n in (1, 7, 8, 9, 16, 17, 64, 65)), "a\x00", "a\x00\x00"]
+    data = " ".join(words).encode()
+    hashes = H.word_hashes(np.frombuffer(data, np.uint8), *H.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[:2])
+    assert len(set(hashes[0].tolist())) == len(set(hashes[1].tolist())) == len(words)
+
+
 def test_hashes_of_blocks():
     import pyarrow as pa
 
@@ -84,7 +104,7 @@ def test_hashes_of_blocks():
         seen = []
         for i, j, data, offsets in H.blocks(pa.array(texts), limit):
             starts, ends, at = H.words(data, offsets)
-            hashes = H.word_hashes(data, starts, ends)
+            hashes = [tuple(x) for x in H.word_hashes(data, starts, ends).T.tolist()]
             for k in range(j - i):
                 seen.append([(data[s:e].tobytes(), h) for s, e, h in zip(starts[at[k] : at[k + 1]], ends[at[k] : at[k + 1]], hashes[at[k] : at[k + 1]], strict=True)])
         assert [[w for w, _ in t] for t in seen] == [(t or "").encode().split() for t in texts]
