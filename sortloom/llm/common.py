@@ -44,21 +44,60 @@ def words_of(c: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+", -1))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is evaluated once, however often body mentions it, in lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Elements that a scan appends to one array, and code points of a piece of a text, so that time grows with the row and not with its square.
+BLOCK, PIECE_BITS = 64, 9
+
+
+def scan(items: Column, start: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """What step gives for each item, from left to right: step(state, item) is (the next state, an output of the SQL type `kind`).
+
+    A fold that appends to its result copies it at each step, so items are folded in blocks, and blocks are put together.
+    """
+    none = F.expr(f"cast(array() as array<{kind}>)")
+
+    def one(acc: Column, x: Column) -> Column:
+        state, out = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+    def folded(each: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(each) / BLOCK) - 1, F.lit(0)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(each, i * BLOCK + 1, F.lit(BLOCK)))
+        first = F.array(F.struct(start.alias("state"), none.alias("out")))
+        done = F.aggregate(blocks, first, lambda acc, block: F.concat(acc, F.array(F.aggregate(block, F.struct(F.element_at(acc, -1)["state"].alias("state"), none.alias("out")), one))))
+        return F.flatten(F.transform(done, lambda d: d["out"]))
+
+    return bound(items, folded)
+
+
 def matches(text: Column, pattern: Column | str) -> Column:
     """array<struct<s, e, v>>: start and end in code points, and the words of each match, left to right."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s: int, e: int, v: string>>)").alias("out"))
-    pairs = F.zip_with(gaps, found, lambda g, v: F.struct(F.length(g).alias("g"), v.alias("v")))
+    pairs = F.zip_with(gaps, found, lambda g, v: F.struct(F.length(g).alias("g"), F.length(v).alias("n"), v.alias("v")))
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        return at + x["g"] + x["n"], F.struct((at + x["g"]).alias("s"), (at + x["g"] + x["n"]).alias("e"), x["v"].alias("v"))
+
+    inner = F.filter(pairs, lambda x: x["v"].isNotNull())  # the gap after the last match has none
+    return scan(inner, F.lit(0), "struct<s: int, e: int, v: string>", step)
+
+
+def pieces(text: Column) -> Column:
+    """The text cut into pieces of equal length, for between()."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{1 << PIECE_BITS}}}"), F.lit(0))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["g"]
-        e = s + F.length(x["v"])
-        more = F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v")))).alias("out"))
-        return F.when(x["v"].isNull(), acc).otherwise(more)  # the gap after the last match
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+def between(cut: Column, a: Column, b: Column) -> Column:
+    """The characters a .. b - 1 of a text cut into pieces: only the pieces that hold them are touched, wherever they stand."""
+    first = F.shiftright(a, PIECE_BITS)
+    near = F.array_join(F.slice(cut, first + 1, F.shiftright(b - 1, PIECE_BITS) - first + 1), "")
+    return F.when(b > a, F.substr(near, a.bitwiseAND((1 << PIECE_BITS) - 1) + 1, b - a)).otherwise("")
 
 
 def scratch(spark: SparkSession) -> str:

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortloom.llm.common import matches, table
+from sortloom.llm.common import between, bound, matches, pieces, scan, table
 
 KINDS = ("email", "ip", "card", "phone", "address", "number", "account", "hosts")
 #: Per kind: what a text must hold (a literal, or a pattern), the pattern, and characters that separate its digits.
@@ -37,16 +37,16 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Generators: at least seven digits in a run; other people's ways of writing an address; account numbers; groups of hexadecimal digits.
-NUMBER = r"[+(]?[0-9][0-9().\x20/-]{5,40}[0-9]"
-ADDRESS = r"[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\x20at\x20|@)\x20?[A-Za-z0-9-]{1,64}\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[A-Za-z]{2,10}"
+NUMBER = r"[+(]?[0-9][0-9().\x20/-]{5,}[0-9]"
+ADDRESS = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\]|\x20at\x20|@)\x20?[A-Za-z0-9-]++\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[A-Za-z]{2,}+"
 ACCOUNT = r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b"
 HOSTS = r"(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}"
 GENERATORS = {"address": ("@|\\((?:at)\\)|\\[at\\]|\\x20dot\\x20", ADDRESS), "number": ("[0-9][0-9().\\x20/-]{5}", NUMBER), "account": ("[A-Z]{2}[0-9]{2}\\x20?[A-Z0-9]{4}", ACCOUNT), "hosts": ("[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{1,4}[:-]", HOSTS)}
 CONTEXT = 28
-HELPFUL = r"phone|tel\b|call|mobile|fax|whatsapp|card|visa|iban|account|konto|cuenta|compte|ssn|social security|passport|mail|contact|reach|ip\b|address|host|mac\b|numéro|nummer|número"
+HELPFUL = r"phone|t[eé]l(?:[eé]f|\b)|call|mobile|cell|\bring\b|dial|text me|sms|fax|whatsapp|llam|appel|ruf|number|handy|m[oó]vil|portable|card|visa|iban|account|konto|cuenta|compte|ssn|social security|passport|mail|contact|reach|ip\b|address|host|mac\b|numéro|nummer|número"
 HARMFUL = r"version|isbn|issn|order|invoice|page|chapter|section|article|serial|commit|sha|hash|doi|total|sum|price|ratio|score|time|date|year|lines?\b|id\b"
 FEATURES = ("length", "digits", "letters", "groups", "longest", "plus", "luhn", "at", "dots", "spaces", "dashes", "helpful", "harmful", "joined", "repeat", "date")
-SAMPLES, ROUNDS, DEPTH, RATE, PRECISION, SEED = 2400, 24, 3, 0.3, 0.98, 11
+SAMPLES, ROUNDS, DEPTH, RATE, PRECISION, SEED = 4000, 28, 3, 0.3, 0.97, 11
 
 
 # ---- native spans --------------------------------------------------------------------------------------------
@@ -84,12 +84,12 @@ def base_spans(text: Column) -> dict[str, Column]:
 # ---- proposals, features and trees ---------------------------------------------------------------------------
 
 
-def feature_struct(text: Column, x: Column) -> Column:
+def feature_struct(cut: Column, x: Column) -> Column:
+    """Of a match x, in a text cut into pieces."""
     v, s, e = x["v"], x["s"], x["e"]
     digits = digits_of(v)
-    begin = F.greatest(s - CONTEXT, F.lit(0))
-    near = F.lower(F.substr(text, begin + 1, s - begin))
-    beside = F.concat(F.substr(text, s, F.when(s > 0, F.lit(1)).otherwise(F.lit(0))), F.lit("\n"), F.substr(text, e + 1, F.lit(1)))
+    near = F.lower(between(cut, F.greatest(s - CONTEXT, F.lit(0)), s))
+    beside = F.concat(between(cut, F.greatest(s - 1, F.lit(0)), s), F.lit("\n"), between(cut, e, e + 1))
     runs = F.filter(F.split(v, "[^0-9]+", -1), lambda r: r != "")
     values = {
         "length": F.length(v), "digits": F.length(digits), "letters": F.length(F.regexp_replace(v, "[^A-Za-z]+", "")), "groups": F.size(runs),
@@ -106,14 +106,15 @@ def proposals(text: Column) -> Column:
     empty = F.expr(f"cast(array() as array<struct<k: int, s: int, e: int, f: struct<{', '.join(f'{x}: int' for x in FEATURES)}>>>)")
 
     def of_kind(k: int, pattern: str) -> Column:
-        return F.transform(matches(text, pattern), lambda x: F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"), feature_struct(text, x).alias("f")))
+        of = lambda cut: F.transform(matches(text, pattern), lambda x: F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"), feature_struct(cut, x).alias("f")))
+        return bound(pieces(text), of)
 
     return F.concat(*[F.when(F.rlike(text, F.lit(sign)), of_kind(KINDS.index(kind), pattern)).otherwise(empty) for kind, (sign, pattern) in GENERATORS.items()])
 
 
 def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int) -> tuple | float:
     """A tree (feature, threshold, left, right) for gradients g and curvatures h; at the leaves a step."""
-    leaf = float(-g.sum() / (h.sum() + 1.0))
+    leaf = round(float(-g.sum() / (h.sum() + 1.0)), 9)
     if depth == 0 or len(g) < 20:
         return leaf
     best, whole = (1e-3, -1, 0), g.sum() ** 2 / (h.sum() + 1.0)
@@ -141,7 +142,7 @@ def _value(tree: tuple | float, x: np.ndarray) -> np.ndarray:
 
 def _as_column(tree: tuple | float, f: Column) -> Column:
     if not isinstance(tree, tuple):
-        return F.lit(round(tree, 9))
+        return F.lit(tree)
     j, cut, low, high = tree
     return F.when(f[FEATURES[j]] <= cut, _as_column(low, f)).otherwise(_as_column(high, f))
 
@@ -160,16 +161,20 @@ def _line(r: random.Random) -> tuple[str, list[tuple[int, int]]]:
         x, sep = valid(16), r.choice((" ", "-", "", "."))
         return sep.join(x[i : i + 4] for i in range(0, 16, 4))
 
-    phone = lambda: r.choice((f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(3)}/{d(7)}", f"0{d(2)} {d(2)} {d(2)} {d(2)} {d(2)}", f"+{d(2)} {d(3)} {d(6)}", f"{d(3)}.{d(3)}.{d(4)}"))
+    phone = lambda: r.choice((f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(3)}/{d(7)}", f"0{d(2)} {d(2)} {d(2)} {d(2)} {d(2)}", f"+{d(2)} {d(3)} {d(6)}", f"{d(3)}.{d(3)}.{d(4)}", f"{d(3)} {d(3)} {d(4)}", f"{d(2)} {d(3)} {d(2)} {d(2)}", f"{d(2)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(4)} {d(6)}", f"1-{d(3)}-{d(3)}-{d(4)}", f"({d(4)}) {d(3)} {d(4)}", f"0{d(3)} {d(8)}", f"{d(3)}-{d(4)} {d(3)}"))
+    asked = lambda: r.choice(("call ", "call us at ", "phone: ", "Tel ", "Tel. ", "mobile ", "fax ", "Fax: ", "contact ", "my number is ", "ring me on ", "cell is ", "dial ", "text me at ", "whatsapp ", "Telefon ", "Handy: ", "rufen Sie ", "llame al ", "teléfono ", "appelez le ", "tél. ", "the number: ", "reach us on ", "phone number ", ""))
+    name = lambda: r.choice((word(), f"{word()}{d(2)}", f"{word()}.{word()}", f"{word()}.{d(2)}", f"{word()[0]}.{word()}", f"{word()}_{word()}"))
+    ends = lambda: r.choice(("com", "org", "net", "de", "fr", "es", "edu", "io", "info"))
     hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
     personal = (
-        lambda: (r.choice(("call ", "phone: ", "Tel ", "mobile ", "fax ", "contact ", "")), phone()), lambda: (r.choice(("card ", "visa ", "")), card()), lambda: (r.choice(("SSN ", "social security ", "ssn: ")), f"{d(3)}-{d(2)}-{d(4)}"),
-        lambda: (r.choice(("mail ", "reach ", "contact ", "")), f"{word()}.{d(2)}{r.choice((' (at) ', '(at)', '[at]', ' [at] '))}{word()}{r.choice((' (dot) ', '[dot]', '.'))}com"),
+        lambda: (asked(), phone()), lambda: (asked(), phone()), lambda: (r.choice(("card ", "visa ", "")), card()), lambda: (r.choice(("SSN ", "social security ", "ssn: ")), f"{d(3)}-{d(2)}-{d(4)}"),
+        lambda: (r.choice(("mail ", "reach ", "contact ", "write to ", "")), f"{name()}{r.choice((' (at) ', '(at)', '[at]', ' [at] '))}{word()}{r.choice((' (dot) ', '[dot]', ' dot ', '.'))}{ends()}"),
+        lambda: (r.choice(("mail ", "reach ", "contact ", "write to ")), f"{name()} at {word()} dot {ends()}"),
         lambda: (r.choice(("IBAN ", "Konto ", "account ", "")), f"DE{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}"), lambda: (r.choice(("IBAN ", "")), f"FR{d(23)}"),
         lambda: (r.choice(("host ", "ip ", "address ", "")), ":".join(hexes(4) for _ in range(8))), lambda: (r.choice(("mac ", "host ")), ":".join(hexes(2) for _ in range(6))),
     )
     harmless = (
-        lambda: d(16), lambda: d(r.randint(8, 20)), lambda: f"{r.randint(1900, 2030)}-{d(2)}-{d(2)}", lambda: f"{d(2)}.{d(2)}.{r.randint(1900, 2030)}", lambda: f"version {d(1)}.{d(2)}.{d(4)}.{d(3)}", lambda: f"ISBN 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", lambda: f"ISBN {d(10)}",
+        lambda: d(16), lambda: d(r.randint(8, 20)), lambda: d(r.randint(20, 80)), lambda: " ".join(d(r.randint(1, 4)) for _ in range(r.randint(6, 30))), lambda: f"{r.randint(1900, 2030)}-{d(2)}-{d(2)}", lambda: f"{d(2)}.{d(2)}.{r.randint(1900, 2030)}", lambda: f"version {d(1)}.{d(2)}.{d(4)}.{d(3)}", lambda: f"ISBN 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", lambda: f"ISBN {d(10)}",
         lambda: f"order {d(10)}", lambda: f"invoice {d(4)}-{d(6)}", lambda: f"id {d(12)}", lambda: f"pages {d(3)}-{d(3)}", lambda: f"{d(3)} {d(3)} {d(3)}", lambda: f"total {d(3)}.{d(3)}.{d(3)}", lambda: f"{d(2)}/{d(2)}/{r.randint(1900, 2030)} {d(2)}", lambda: f"doi 10.{d(4)}/{d(6)}.{d(3)}",
         lambda: f"12:30:45:{d(2)}:{d(2)} time", lambda: f"token = {hexes(40)}", lambda: f"{d(1)}.{d(6)} {d(1)}.{d(5)}", lambda: f"commit {hexes(12)}", lambda: f"look at the dot on {word()} at {word()} dot {word()}", lambda: f"AB12 CDEF{d(4)} section", lambda: f"{d(4)} {d(4)} {d(4)} {d(4)}",
         lambda: f"hash {':'.join(hexes(2) for _ in range(20))}", lambda: f"ratio {d(3)}/{d(5)}", lambda: f"{d(4)}-{d(4)} {d(4)}-{d(4)}", lambda: f"MM{d(2)} ABCD EFGH IJKL {word()}",
@@ -214,30 +219,46 @@ def trained(spark: SparkSession) -> tuple[list, dict[int, float]]:
         order = np.argsort(-score[own], kind="stable")
         hits = np.cumsum(y[own][order]) / np.arange(1, len(order) + 1)
         good = np.flatnonzero(hits >= PRECISION)
-        limits[k] = max(0.0, float(score[own][order][good[-1]])) if len(good) else float("inf")
+        limits[k] = max(0.0, float(score[own][order][good[-1]]) - 1e-6) if len(good) else float("inf")
     _models[SEED] = trees, limits
     return trees, limits
 
 
+SPAN = "struct<s: int, k: int, e: int>"
+
+
+def apart(spans: Column, base: Column) -> Column:
+    """The spans (by start) that overlap none of base: a scan to the right knows how far base spans reach, one to the left where the next begins."""
+    named = lambda x, own: F.struct(x["s"].alias("s"), F.lit(own).alias("own"), x["e"].alias("e"), x["k"].alias("k"))
+    both = F.sort_array(F.concat(F.transform(base, lambda x: named(x, 0)), F.transform(spans, lambda x: named(x, 1))))
+    kind = "struct<s: int, own: int, e: int, k: int, hit: boolean>"
+    marked = lambda x, hit: F.struct(x["s"].alias("s"), x["own"].alias("own"), x["e"].alias("e"), x["k"].alias("k"), hit.alias("hit"))
+    right = scan(both, F.lit(-1), kind, lambda reach, x: (F.when(x["own"] == 0, F.greatest(reach, x["e"])).otherwise(reach), marked(x, reach > x["s"])))
+    left = scan(F.reverse(right), F.lit(2**31 - 1), kind, lambda begin, x: (F.when(x["own"] == 0, x["s"]).otherwise(begin), marked(x, x["hit"] | (begin < x["e"]))))
+    free = F.filter(F.reverse(left), lambda x: (x["own"] == 1) & ~x["hit"])
+    return F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+
+
+def score_of(trees: list, f: Column) -> Column:
+    """What the trees add up to for features f."""
+    return sum((_as_column(t, f) for t in trees), F.lit(0.0)) * RATE
+
+
 def picked_spans(spark: SparkSession, text: Column, base: Column) -> Column:
     """array<struct<s, k, e>>: proposals over their kind's threshold and outside base spans."""
     trees, limits = trained(spark)
-
-    def chosen(x: Column) -> Column:
-        score = sum((_as_column(t, x["f"]) for t in trees), F.lit(0.0)) * RATE
-        limit = F.element_at(F.array(*[F.lit(limits[k]) for k in sorted(limits)]), x["k"] - 3)
-        return (score >= limit) & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-
-    return F.transform(F.filter(proposals(text), chosen), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+    limit = F.array(*[F.lit(limits[k]) for k in sorted(limits)])
+    good = F.filter(proposals(text), lambda x: score_of(trees, x["f"]) >= F.element_at(limit, x["k"] - 3))
+    spans = F.transform(good, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+    return bound(spans, lambda found: F.when((F.size(found) > 0) & (F.size(base) > 0), apart(found, base)).otherwise(found))
 
 
 def outermost(spans: Column) -> Column:
     """Those that lie within no other; of equal ones the first kind's."""
-    start = F.struct(F.lit(-1).alias("reach"), F.expr("cast(array() as array<struct<s: int, k: int, e: int>>)").alias("out"))
     # By start, longest first: a span lies within an earlier one if one of these ends at or after its end.
     order = F.transform(F.sort_array(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("n"), x["k"].alias("k")))), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), (-x["n"]).alias("e")))
-    step = lambda acc, x: F.when(x["e"] <= acc["reach"], acc).otherwise(F.struct(x["e"].alias("reach"), F.concat(acc["out"], F.array(x)).alias("out")))
-    return F.aggregate(order, start, step, lambda acc: acc["out"])
+    kept = scan(order, F.lit(-1), SPAN, lambda reach, x: (F.greatest(reach, x["e"]), F.when(x["e"] > reach, x)))
+    return F.filter(kept, lambda x: x.isNotNull())
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
@@ -271,13 +292,11 @@ def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span of text replaced by its kind in brackets; overlapping spans by the first one's. Other columns stay."""
     rows = with_spans(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        kept = F.when(x["s"] >= acc["at"], F.concat(F.substr(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), tags[x["k"]])).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], kept).alias("out"))
-
-    whole = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text"))))
+    # Each span with the place where the text that is still to be written begins; spans that begin before it are passed over.
+    step = lambda at, x: (F.greatest(at, x["e"]), F.when(x["s"] >= at, F.struct(at.alias("at"), x["s"].alias("s"), x["k"].alias("k"))))
+    cuts = F.filter(scan(F.col("spans"), F.lit(0), "struct<at: int, s: int, k: int>", step), lambda x: x.isNotNull())
+    end = F.array_max(F.transform("spans", lambda x: x["e"]))
+    whole = bound(pieces(F.col("text")), lambda cut: F.concat(F.array_join(F.transform(cuts, lambda x: F.concat(between(cut, x["at"], x["s"]), tags[x["k"]])), ""), between(cut, end, F.length("text"))))
     text = F.when(F.size("spans") > 0, whole).otherwise(F.col("text"))
     return rows.select(*[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
