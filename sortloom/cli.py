@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import argparse
 import sys
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from sortloom.functions.record import crc_sum, u128_hex
-from sortloom.operators.validate import merged, summaries_in_place, summary_line
+from sortloom.operators.validate import merged, partition_summaries, summary_line
 from sortloom.plans import cost
 from sortloom.plans.job import Job, run_and_print
 from sortloom.sources import fixedrec, gensort
 
 #: Kinds of input and output and the scheme of their paths.
 STORES = {"fs": None, "awscli": "s3", "awscurl": "s3", "gcp": "gs"}
+#: With --client command, what reads and writes an object; awscurl has none and passes through the store's library.
+GET = {"awscli": "aws s3 cp --cli-connect-timeout 15 --cli-read-timeout 15 {url} -", "gcp": "gsutil cp {url} -"}
+PUT = {"awscli": "aws s3 cp --storage-class {storage_class} - {url}", "gcp": "gsutil cp - {url}"}
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -33,10 +35,11 @@ def arguments() -> argparse.ArgumentParser:
     sort.add_argument("--buffer_size", type=int)
     sort.add_argument("--download_timeout", type=int)
     sort.add_argument("--chunk_size", type=int)
-    # The store's client and Spark's task slots see to these; they are taken so that command lines keep working.
-    for name in ("concurrent_files", "upload_timeout"):
-        sort.add_argument(f"--{name}", type=int)
-    sort.add_argument("--storage_class")
+    sort.add_argument("--sampled", action="store_true", help="boundaries from a sample of the keys")
+    sort.add_argument("--client", choices=["library", "command"], default="library", help="objects pass through the store's library (its credentials, retries and transfers; awscli and awscurl are the same), or through the aws and gsutil commands")
+    sort.add_argument("--storage_class", help="of objects that awscli writes; one other than STANDARD needs --client command")
+    sort.add_argument("--upload_timeout", type=float, help="seconds that a command may take after the last byte of an object")
+    sort.add_argument("--concurrent_files", type=int, help="uploads of an executor at a time, at least its cores: each task uploads one object at a time")
     gen = sub.add_parser("gensort", help="write generated records")
     gen.add_argument("-a", action="store_true", help="ASCII records")
     gen.add_argument("-c", action="store_true", help="print the checksum")
@@ -66,6 +69,18 @@ def place(args, side: str) -> str:
     return f"{scheme}://{bucket}/{prefix}"
 
 
+def refused(args, cores: int | None = None) -> None:
+    """Ends on options that can't be kept."""
+    if args.output == "awscli" and not args.storage_class:
+        raise SystemExit("--storage_class is needed")
+    if args.storage_class and args.storage_class != "STANDARD" and not (args.output == "awscli" and args.client == "command"):
+        raise SystemExit("--storage_class other than STANDARD needs --output awscli and --client command")
+    if args.upload_timeout and not (args.output in PUT and args.client == "command"):
+        raise SystemExit("--upload_timeout needs --client command and --output awscli or gcp")
+    if args.concurrent_files and cores and args.concurrent_files < cores:
+        raise SystemExit(f"--concurrent_files {args.concurrent_files}: an executor has {cores} cores and so many uploads at a time; set spark.executor.cores")
+
+
 def job_of(args) -> Job:
     if args.input == "generate" and args.input_count is None:
         raise SystemExit("--input_count is needed")
@@ -75,15 +90,23 @@ def job_of(args) -> Job:
         input_path=None if args.input == "generate" else place(args, "input"),
         input_count=args.input_count if args.input == "generate" else None,
         output_path=None if args.output == "discard" else place(args, "output"),
-        reader=given(buffer_size=args.buffer_size, download_timeout=args.download_timeout),
-        writer=given(chunk_bytes=args.chunk_size),
+        sampled=args.sampled,
+        reader=given(buffer_size=args.buffer_size, download_timeout=args.download_timeout, get_command=GET.get(args.input) if args.client == "command" else None),
+        writer=given(chunk_bytes=args.chunk_size, upload_timeout=args.upload_timeout, storage_class=args.storage_class, put_command=PUT.get(args.output) if args.client == "command" else None),
     )
 
 
+def cores_of(spark: SparkSession) -> int:
+    """Task slots of an executor."""
+    master = spark.sparkContext.master
+    return spark.sparkContext.defaultParallelism if master.startswith("local") else int(spark.conf.get("spark.executor.cores", "1"))
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = arguments().parse_args(argv)
     spark = spark or SparkSession.builder.appName("sortloom").getOrCreate()
     if args.command == "sort":
+        refused(args, cores_of(spark))
         run_and_print(spark, job_of(args))
     elif args.command == "gensort":
         rows = gensort.generate(spark, args.num_recs, args.b, args.a)
@@ -93,13 +116,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif args.command == "validate":
         # Splits in the order of names stand for partitions.
         rows = fixedrec.read(spark, args.path)
-        summary = merged(summaries_in_place(rows)).first().asDict()
+        summary = merged(partition_summaries(rows)).first().asDict()
         print(summary_line(summary))
         return int(summary["unordered_count"] > 0)
     else:
-        # A log of gauges is small; its lines are numbered as they stand.
-        text = [(i, line) for i, line in enumerate(Path(args.log).read_text().splitlines())]
-        lines = spark.createDataFrame(text, "n long, line string")
+        # Lines are numbered where they stand: splits of a file follow each other.
+        lines = spark.read.text(args.log).select(F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
         samples = cost.last_writes(cost.sink_records(cost.parsed(lines, order="n")), "n")
         row = cost.storage_cost(samples, args.total_bytes, args.start, args.stop, args.price).first()
         print(f"byte-seconds: {row['byte_seconds']:.0f}, cost: {row['cost']:.2f}")

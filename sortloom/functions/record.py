@@ -101,7 +101,53 @@ def normalized_key(key: Column, length: int) -> Column:
     return F.rpad(F.substring(key, 1, min(length, KEY_BYTES)), length, F.lit(b"\x00"))
 
 
-def checked(records: DataFrame, column: str = "record") -> DataFrame:
-    """Fails on a null record or one that hasn't 100 bytes."""
-    ok = F.col(column).isNotNull() & (F.octet_length(column) == RECORD_BYTES)
-    return records.withColumn(column, F.when(ok, F.col(column)).otherwise(F.raise_error(F.lit(f"a record must have {RECORD_BYTES} bytes"))))
+# ---- unsigned numbers of 128 bits that wrap: eight limbs of 16 bits, lowest first ----------------------------
+
+LIMBS, LIMB = 8, 16
+
+
+def wide_of_hex(digits: Column) -> Column:
+    """array<bigint> of limbs, from up to 32 hexadecimal digits."""
+    padded = F.lpad(digits, 32, "0")
+    return F.array(*[F.conv(F.substring(padded, 29 - 4 * i, 4), 16, 10).cast("bigint") for i in range(LIMBS)])
+
+
+def wide_hex(x: Column) -> Column:
+    """Lower-case hexadecimal digits without leading zeros; 0 is "0"."""
+    digits = F.concat(*[F.lpad(F.lower(F.hex(F.get(x, F.lit(i)))), 4, "0") for i in reversed(range(LIMBS))])
+    return F.coalesce(F.nullif(F.ltrim(digits, F.lit("0")), F.lit("")), F.lit("0"))
+
+
+def _carried(sums: Column) -> Column:
+    """Limbs below 2**16 from sums that are larger; what goes beyond 128 bits is dropped."""
+    step = lambda acc, v: F.struct(F.shiftright(acc["carry"] + v, LIMB).alias("carry"), F.concat(acc["out"], F.array((acc["carry"] + v).bitwiseAND((1 << LIMB) - 1))).alias("out"))
+    start = F.struct(F.lit(0).cast("bigint").alias("carry"), F.expr("cast(array() as array<bigint>)").alias("out"))
+    return F.aggregate(sums, start, step, lambda acc: acc["out"])
+
+
+def wide_add(x: Column, y: Column) -> Column:
+    return _carried(F.zip_with(x, y, lambda a, b: a + b))
+
+
+def wide_multiply(x: Column, y: Column) -> Column:
+    """The low 128 bits of the product: products of limbs have 32 bits, sums of eight of them 35."""
+    at = lambda c, i: F.get(c, F.lit(i))
+    return _carried(F.array(*[sum((at(x, i) * at(y, k - i) for i in range(1, k + 1)), at(x, 0) * at(y, k)) for k in range(LIMBS)]))
+
+
+def wide_shift_left(x: Column, n: Column) -> Column:
+    """x times 2**n; nothing is left for n of 128 or more, or below 0."""
+    whole, part = F.shiftright(n, 4), n.bitwiseAND(LIMB - 1)
+    moved = F.transform(F.sequence(F.lit(0), F.lit(LIMBS - 1)), lambda i: F.when(i >= whole, F.coalesce(F.get(x, (i - whole).cast("int")), F.lit(0).cast("bigint"))).otherwise(F.lit(0).cast("bigint")))
+    scaled = F.transform(moved, lambda v: (v * F.pow(F.lit(2.0), part)).cast("bigint"))  # below 2**31: exact
+    return F.when((n >= 0) & (n < LIMBS * LIMB), _carried(scaled)).otherwise(F.array(*[F.lit(0).cast("bigint")] * LIMBS))
+
+
+def wide_half(x: Column, high: bool) -> Column:
+    """The high or low 64 bits, as 16 hexadecimal digits."""
+    return F.concat(*[F.lpad(F.lower(F.hex(F.get(x, F.lit(i)))), 4, "0") for i in (range(7, 3, -1) if high else range(3, -1, -1))])
+
+
+def same_key(a: Column, b: Column) -> Column:
+    """Records are equal if their keys are: values don't count."""
+    return key_of(a) == key_of(b)

@@ -46,7 +46,7 @@ def equal_width(records: DataFrame, n: int, key: str | Column = "key", p: str =
     return placed.repartitionById(n, p)
 
 
-def by_sample(records: DataFrame, n: int, key: str = "key") -> DataFrame:
+def by_sample(records: DataFrame, n: int, key: str | Column = "key") -> DataFrame:
     """An extension for skewed keys: boundaries from a sample of the keys. Equal keys still share a partition."""
     return records.repartitionByRange(n, key)
 

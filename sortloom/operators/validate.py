@@ -1,7 +1,7 @@
 """Validation in the pass that sorts: counts, duplicates, disorder, first and last key and an additive checksum.
 
-Order is checked against the place at which rows physically stand, never against a new sort by key,
-which would find every result in order. Summaries of partitions merge in the order of partitions: the last
+Order is checked where rows stand, batch by batch as they come out of the sort: neither a window, which would sort
+them again, nor a new sort by key, which would find every result in order. Summaries of partitions merge in the order of partitions: the last
 key of one is held against the first key of the next; empty partitions are passed over.
 """
 
@@ -13,32 +13,10 @@ from decimal import Decimal
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sortloom.functions.record import KEY_BYTES, crc, crc_sum, hex_of, key_of, u128_hex
-from sortloom.operators.sort import with_position
-
-
-def with_previous(ordered: DataFrame, key: str = "key") -> DataFrame:
-    """Rows with pos and prev, the key of the row that stands before in the same partition (null: the first)."""
-    placed = with_position(ordered)
-    return placed.withColumn("prev", F.lag(key).over(Window.partitionBy("p").orderBy("pos")))
-
-
-def _counts(key: str, record: str) -> list[Column]:
-    return [
-        F.count("*").alias("record_count"),
-        F.count_if(F.col("prev") == F.col(key)).alias("duplicate_count"),
-        F.count_if(F.col("prev") > F.col(key)).alias("unordered_count"),
-        crc_sum(F.col(record)).alias("checksum"),
-    ]
-
-
-def partition_summaries(ordered: DataFrame, key: str = "key", record: str = "record") -> DataFrame:
-    """One row for each partition that has records: p, first_key, last_key, record_count, duplicate_count, unordered_count, checksum."""
-    ends = [F.min_by(key, "pos").alias("first_key"), F.max_by(key, "pos").alias("last_key")]
-    return with_previous(ordered, key).groupBy("p").agg(*ends, *_counts(key, record))
+from sortloom.functions.record import KEY_BYTES, crc, hex_of, key_of, u128_hex
 
 
 def boundaries(summaries: DataFrame) -> DataFrame:
@@ -68,19 +46,6 @@ def readable(summary: DataFrame) -> DataFrame:
     return summary.withColumns(keys | {"checksum": u128_hex(F.coalesce("checksum", F.lit(0)))})
 
 
-def observed(ordered: DataFrame, key: str = "key", record: str = "record") -> tuple[DataFrame, Observation]:
-    """The sorted rows, and what they add up to, once whatever writes them is done: validation costs no pass and no sort of its own.
-
-    The window asks for the very order that sort_partitions has made, so it takes the rows as they come out of the sort, and a key
-    below the one before it would show. The observation counts within partitions; keys that repeat over a boundary can't, as equal
-    keys share a partition.
-    """
-    seen = Observation()
-    rows = ordered.withColumn("prev", F.lag(key).over(Window.partitionBy("p").orderBy(key)))
-    rows = rows.observe(seen, F.min(key).alias("first_key"), F.max(key).alias("last_key"), *_counts(key, record))
-    return rows.drop("prev"), seen
-
-
 class Running:
     """The summary of a stream of keys and CRCs: a batch is compared at once, its first key with the last one before."""
 
@@ -108,10 +73,10 @@ class Running:
 SUMMARY = "p int, first_key binary, last_key binary, record_count long, duplicate_count long, unordered_count long, checksum decimal(38,0)"
 
 
-def summaries_in_place(records: DataFrame, record: str = "record") -> DataFrame:
-    """partition_summaries of rows where they stand, p the number of the Spark partition: nothing is shuffled or sorted.
+def partition_summaries(records: DataFrame, record: str = "record", key: Column | None = None) -> DataFrame:
+    """One row for each Spark partition that has records, p its number, of rows where they stand: nothing is shuffled or sorted.
 
-    Only keys and CRCs, made natively, go to the Python worker.
+    Only keys (the record's first bytes, or those of the expression given) and CRCs, made natively, go to the Python worker.
     """
     arrow = pa.schema([("p", pa.int32()), ("first_key", pa.binary()), ("last_key", pa.binary()), ("record_count", pa.int64()), ("duplicate_count", pa.int64()), ("unordered_count", pa.int64()), ("checksum", pa.decimal128(38, 0))])
 
@@ -121,14 +86,14 @@ def summaries_in_place(records: DataFrame, record: str = "record") -> DataFrame:
             _, offsets, data = batch.column(0).buffers()
             if batch.num_rows:
                 at = np.frombuffer(offsets, np.int32)[batch.column(0).offset :][: batch.num_rows + 1]
-                if (np.diff(at) != KEY_BYTES).any():
+                if batch.column(0).null_count or (np.diff(at) != KEY_BYTES).any():
                     raise ValueError("a record is too short for a key")
                 keys = np.frombuffer(data, np.uint8)[at[0] : at[-1]].reshape(-1, KEY_BYTES)
                 seen.add(keys, batch.column(1).to_numpy(zero_copy_only=False))
         if seen.count:
             yield pa.RecordBatch.from_pylist([seen.row(TaskContext.get().partitionId())], schema=arrow)
 
-    rows = records.select(key_of(F.col(record)), crc(F.col(record)))
+    rows = records.select((key_of(F.col(record)) if key is None else key).alias("key"), crc(F.col(record)).alias("crc"))
     return rows.mapInArrow(run, SUMMARY)
 
 
@@ -143,14 +108,14 @@ def merged_rows(rows: list[dict]) -> dict:
     return out
 
 
+def summary_text(summary: DataFrame) -> DataFrame:
+    """A readable summary as one column, line: what summary_line gives, on a frame."""
+    named = [("first key", "first_key"), ("last key", "last_key"), ("checksum", "checksum"), *((c.replace("_", " "), c) for c in ("record_count", "duplicate_count", "unordered_count"))]
+    return summary.select(F.concat_ws(", ", *[F.concat(F.lit(f"{text}: "), F.coalesce(F.col(c).cast("string"), F.lit("None"))) for text, c in named]).alias("line"))
+
+
 def summary_line(row: dict) -> str:
     """A summary as a line of text."""
     key = lambda k: bytes(k).hex() if k is not None and not isinstance(k, str) else k
     total = row["checksum"]
     return f"first key: {key(row['first_key'])}, last key: {key(row['last_key'])}, checksum: {total if isinstance(total, str) else format(int(total or 0), 'x')}, record count: {row['record_count']}, duplicate count: {row['duplicate_count']}, unordered count: {row['unordered_count']}"
-
-
-def duplicate_keys(records: DataFrame, key: str) -> DataFrame:
-    """One row: records, and how many of them repeat an earlier key (m records with a key add m - 1)."""
-    each = records.groupBy(key).agg(F.count("*").alias("n"))
-    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("record_count"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_count"))

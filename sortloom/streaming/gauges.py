@@ -23,8 +23,11 @@ def records_written(gauges: DataFrame) -> DataFrame:
     return sink_records(gauges).groupBy("task_number").agg(F.max("gauge_value").alias("records"), F.max("time").alias("time"))
 
 
-def listen(port: int, folder: str, stop_after: float | None = None, roll: int = 1000) -> int:
-    """Writes gauges that arrive by UDP to files of `roll` lines in a folder, each line with the time before it; the number of lines."""
+def listen(port: int, folder: str, stop_after: float | None = None, roll: int = 1000, host: str = "") -> int:
+    """Writes gauges that arrive by UDP to files of `roll` lines in a folder, each line with the time before it; the number of lines.
+
+    host: the address to listen at; all of this machine's, unless named.
+    """
     out, lines, n, ends = Path(folder), [], 0, None if stop_after is None else time.time() + stop_after
     out.mkdir(parents=True, exist_ok=True)
 
@@ -36,7 +39,7 @@ def listen(port: int, folder: str, stop_after: float | None = None, roll: int =
             lines.clear()
 
     with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
-        s.bind(("127.0.0.1", port))
+        s.bind((host, port))
         s.settimeout(0.2)
         while ends is None or time.time() < ends:
             try:

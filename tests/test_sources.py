@@ -119,13 +119,75 @@ def test_a_read_that_fails_goes_on_where_it_stopped(tmp_path, monkeypatch):
 
     monkeypatch.setattr(X, "opened", lambda path: (Store(), path))
     part = X.Split(str(tmp_path / "in" / "a"), 0, 5000, 5000)
-    got = []
-    with pytest.raises(OSError):
-        for b in reader.read(part):
-            got.append(b)
-    assert calls == [0, 1000, 2000, 3000] and sum(b.num_rows for b in got) == 40
-    reader.retries = 10
-    assert b"".join(bytes(x) for b in reader.read(part) for x in b.column(0).to_pylist()) == data
+    # Each attempt makes progress, so as many failures as it takes are borne.
+    assert b"".join(bytes(x) for b in reader.read(part) for x in b.column(0).to_pylist()) == data and calls == [0, 1000, 2000, 3000, 4000]
+    # Without progress they are counted.
+    calls.clear()
+    monkeypatch.setattr(Weak, "read", lambda self, n: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError, match="lost"):
+        list(reader.read(part))
+    assert calls == [0] * 4
+
+
+def test_a_slow_read_that_progresses_goes_on(tmp_path, monkeypatch):
+    data = G.records(0, 50).tobytes()
+    put(tmp_path / "in", a=data)
+    monkeypatch.setattr(X, "LEAST_TIMEOUT", -1.0)
+    reader = X.FixedReader({"path": str(tmp_path / "in"), "buffer_size": "500", "download_timeout": "0"})
+    assert b"".join(bytes(x) for b in reader.read(X.Split(str(tmp_path / "in" / "a"), 0, 5000, 5000)) for x in b.column(0).to_pylist()) == data
+
+
+def test_names_that_begin_with_a_path(spark, tmp_path):
+    one = G.records(0, 1).tobytes()
+    folder = put(tmp_path / "in", part1=one, part2=one, other=one)
+    put(tmp_path / "in" / "part3", a=one)
+    assert [n.removeprefix(folder) for n, _ in X.listed(f"{folder}/part")] == ["/part1", "/part2", "/part3/a"]
+    assert X.read(spark, f"{folder}/part").count() == 3 and X.read(spark, f"{folder}/part3").count() == 1 and X.listed(f"{folder}/none") == []
+
+
+def test_direct_writes_and_stale_objects(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for n in (1000, 300):
+        rows = S.sort_records(records(spark, n), 4)
+        X.write(rows, out, chunk_bytes=2_500, direct="true")
+        names = [x["object_name"] for x in json.loads((tmp_path / "out" / X.MANIFEST).read_text())]
+        assert sorted(names) == sorted(f.removeprefix(f"{out}/") for f, _ in X.listed(out)) and not (tmp_path / "out" / X.STAGING).exists()
+        assert [bytes(r["record"]) for r in X.read(spark, out).collect()] == [bytes(r["record"]) for r in rows.collect()]
+    with pytest.raises(Exception, match="holds objects"):
+        X.write(records(spark, 5).coalesce(1), out, overwrite=False, direct="true")
+    with pytest.raises(Exception, match="twice"):
+        X.write(records(spark, 5), out, direct="true", speculation="true")
+
+
+def test_objects_pass_through_commands(spark, tmp_path):
+    """A client's commands, here those of any machine: written, read, resumed, failed and timed out."""
+    out = tmp_path / "out"
+    for p in range(4):
+        (out / str(p)).mkdir(parents=True)
+    rows = S.sort_records(records(spark, 1000), 4)
+    X.write(rows, str(out), chunk_bytes=2_500, put_command="dd status=none of={url}", storage_class="X")
+    want = [bytes(r["record"]) for r in rows.collect()]
+    assert [bytes(r["record"]) for r in X.read(spark, str(out), get_command="cat {url}", split_bytes=100).collect()] == want
+    name, size = max(X.listed(str(out)), key=lambda f: f[1])
+    reader = X.FixedReader({"path": str(out), "get_command": "head -c 1200 {url}", "buffer_size": "500"})
+    with pytest.raises(OSError, match="ends early"):
+        list(reader.read(X.Split(name, 0, size, size)))
+    with pytest.raises(Exception, match="exit code"):
+        X.write(rows, str(out), put_command="sh -c 'cat > /dev/null; exit 3' {url}")
+    with pytest.raises(Exception, match="no end"):
+        X.write(rows.limit(5), str(out), put_command="sh -c 'cat > /dev/null; exec sleep 20' {url}", upload_timeout="0.3")
+
+
+def test_options_that_cannot_be_kept_are_refused():
+    base = ["sort", "--input", "generate", "--input_count", "5", "--num_partitions", "2", "--output_bucket", "b", "--output_prefix", "p"]
+    parse = lambda *more: cli.arguments().parse_args([*base, *more])
+    for more in (["--output", "awscli"], ["--output", "awscli", "--storage_class", "GLACIER"], ["--output", "gcp", "--upload_timeout", "9"], ["--output", "awscurl", "--client", "command", "--upload_timeout", "9"], ["--output", "gcp", "--concurrent_files", "2"]):
+        with pytest.raises(SystemExit):
+            cli.refused(parse(*more), 4)
+    kept = parse("--output", "awscli", "--storage_class", "REDUCED_REDUNDANCY", "--client", "command", "--upload_timeout", "60", "--concurrent_files", "16")
+    cli.refused(kept, 4)
+    writer = cli.job_of(kept).writer
+    assert X.command(writer["put_command"], "s3://b/p/0/0", storage_class=writer["storage_class"]) == ["aws", "s3", "cp", "--storage-class", "REDUCED_REDUNDANCY", "-", "s3://b/p/0/0"] and writer["upload_timeout"] == 60
 
 
 def test_command_line(spark, tmp_path, capsys):
