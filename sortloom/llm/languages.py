@@ -5,7 +5,9 @@ the language's letter trigrams and its words; Viterbi over a text's words, with
 change of language, labels the spans. The language of the text is that of most letters.
 
 The model is learned from a bounded sample of rows with a label: about SAMPLE of each language, picked
-by a hash of the id, all of them where there are fewer. Whole texts are learned from and labelled.
+by a hash of the id, all of them where there are fewer, equal texts of a language once. Whole texts are learned from and
+labelled. Their words are counted where they are; the driver gets at most WORDS_KEPT words with counts of each language (the most frequent),
+never a text. Every label is learned; more than LABELS of them are no languages and an error.
 
 Defined results: `und` with score 0 if text is null or has no letter; a text in a script of no learned
 language gets a learned value with score 0; ties go to the language first in order; repeated rows get equal results;
@@ -15,6 +17,7 @@ share of the text's letters that are in spans of the language and in one of its
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -22,13 +25,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sortloom.llm.common import alone, table
 
-#: Rows of each language to learn from, about; languages at most (the most frequent ones).
-SAMPLE, LANGUAGES = 400, 200
+#: Rows of each language to learn from, about; words of each that are kept; languages at most.
+SAMPLE, WORDS_KEPT, LABELS = 400, 20_000, 1000
 #: What a change of language costs, in natural-log units; weight of whole-word counts against trigrams.
 SWITCH, WORD_WEIGHT = 8.0, 0.3
 #: Share of a language's letters that a script must have to be one of its scripts.
@@ -42,14 +45,29 @@ SCRIPTS = {
     "Cyrillic": [(0x400, 0x52F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF)],
     "Armenian": [(0x530, 0x58F)],
     "Hebrew": [(0x590, 0x5FF)],
-    "Arabic": [(0x600, 0x6FF), (0x750, 0x77F), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF)],
+    "Arabic": [(0x600, 0x6FF), (0x750, 0x77F), (0x8A0, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF)],
+    "Syriac": [(0x700, 0x74F)],
+    "Thaana": [(0x780, 0x7BF)],
     "Devanagari": [(0x900, 0x97F)],
     "Bengali": [(0x980, 0x9FF)],
+    "Gurmukhi": [(0xA00, 0xA7F)],
+    "Gujarati": [(0xA80, 0xAFF)],
+    "Oriya": [(0xB00, 0xB7F)],
     "Tamil": [(0xB80, 0xBFF)],
+    "Telugu": [(0xC00, 0xC7F)],
+    "Kannada": [(0xC80, 0xCFF)],
+    "Malayalam": [(0xD00, 0xD7F)],
+    "Sinhala": [(0xD80, 0xDFF)],
     "Thai": [(0xE00, 0xE7F)],
-    "Georgian": [(0x10A0, 0x10FF)],
+    "Lao": [(0xE80, 0xEFF)],
+    "Tibetan": [(0xF00, 0xFFF)],
+    "Myanmar": [(0x1000, 0x109F)],
+    "Georgian": [(0x10A0, 0x10FF), (0x2D00, 0x2D2F)],
     "Hangul": [(0x1100, 0x11FF), (0xAC00, 0xD7AF)],
-    "Ethiopic": [(0x1200, 0x137F)],
+    "Ethiopic": [(0x1200, 0x139F)],
+    "Cherokee": [(0x13A0, 0x13FF), (0xAB70, 0xABBF)],
+    "Khmer": [(0x1780, 0x17FF)],
+    "Mongolian": [(0x1800, 0x18AF)],
     "Kana": [(0x3040, 0x30FF)],
     "Han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3134F)],
 }
@@ -95,6 +113,11 @@ class Model:
         counts: dict[str, Counter] = {}
         for language, text in texts:
             counts.setdefault(language, Counter()).update(WORD.findall(text.lower()))
+        return cls.of_counts(counts)
+
+    @classmethod
+    def of_counts(cls, counts: dict[str, Counter]) -> Model:
+        """From the words of each language, in lower case, and how often each was there."""
         languages = sorted(counts)
         grams, fits = [], np.zeros((len(SCRIPTS) + 1, len(languages)), bool)
         for k, language in enumerate(languages):
@@ -115,7 +138,7 @@ class Model:
             scores[:, k] = np.log((scores[:, k] + 0.5) / (n.sum() + 0.5 * (len(codes) + 1)))
         common = Counter()
         for c in counts.values():
-            common.update({w: n for w, n in c.most_common(5000) if n > 2})
+            common.update({w: n for w, n in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:5000] if n > 2})
         total = np.array([max(1, sum(counts[x].values())) for x in languages])
         words = {w: np.log((np.array([counts[x][w] for x in languages]) + 0.5) / (total + 0.5)) for w in common}
         return cls(languages, codes, scores.astype(np.float32), words, fits)
@@ -134,8 +157,9 @@ class Model:
         for i, w in enumerate(new):
             if w in self.words:
                 out[i] += WORD_WEIGHT * self.words[w]
-        script = script_of(np.fromiter((ord(w[0]) for w in new), np.int64, len(new)))
-        ok = self.fits[script]
+        # A word's script is that of most of its letters, the first in order of several.
+        letters = np.bincount(of * (len(SCRIPTS) + 1) + script_of((code >> 21) & 0x1FFFFF), minlength=len(new) * (len(SCRIPTS) + 1)).reshape(len(new), -1)
+        ok = self.fits[letters.argmax(1)]
         out[~ok & ok.any(1)[:, None]] = -1e6
         out[~ok.any(1)] = 0
         out -= out.max(1, keepdims=True)
@@ -248,22 +272,30 @@ def held_out(doc_id) -> F.Column:
 
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """From rows (doc_id, text, lang): about `sample` of each language, whatever the size of the table."""
-    rows = labelled.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
-    least = F.min_by("doc_id", F.xxhash64("doc_id", F.lit(5))).alias("least")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("count"), least).orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    rows = labelled.where("lang is not null and text is not null and doc_id is not null").select(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)).alias("draw"), "text", F.col("lang").cast("string").alias("lang"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("count"), F.min("draw").alias("least")).limit(LABELS + 1).collect()
+    if len(counts) > LABELS:
+        raise ValueError(f"lang has more than {LABELS} values")
     if not counts:
-        return Model.learn(iter(()))
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))])
-    rate = F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0))
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < rate * float(1 << 30))
-    seen = picked.select("lang", "text").orderBy("lang", "text").collect()  # about sample * languages rows
-    texts = [(r["lang"], r["text"]) for r in seen]
-    missing = {r["lang"]: r["least"] for r in counts}
-    for language, _ in texts:
-        missing.pop(language, None)
-    if missing:  # a language so rare that the hash picked none
-        texts += [(r["lang"], r["text"]) for r in rows.where(F.col("doc_id").isin(list(missing.values()))).select("lang", "text").collect() if r["lang"] in missing]
-    return Model.learn(iter(texts))
+        return Model.of_counts({})
+    # Draws below a language's share of rows, and in any case the least one there is.
+    below = F.from_json(F.lit(json.dumps({r["lang"]: max(int(min(1.0, sample / r["count"]) * (1 << 30)), r["least"] + 1) for r in counts})), "map<string, bigint>")
+    picked = rows.where(F.col("draw") < F.element_at(below, F.col("lang"))).select("lang", "text").dropDuplicates()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                found: Counter = Counter()
+                for language, text in zip(*(c.to_pylist() for c in batch.slice(i, 64).columns), strict=True):
+                    found.update((language, w) for w in WORD.findall(text.lower()))
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
+
+    words = picked.mapInArrow(counted, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    seen: dict[str, Counter] = {r["lang"]: Counter() for r in counts}
+    for r in words.withColumn("place", place).where(f"place <= {WORDS_KEPT}").select("lang", "word", "n").toLocalIterator():
+        seen[r["lang"]][r["word"]] = r["n"]
+    return Model.of_counts(seen)
 
 
 def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFrame:

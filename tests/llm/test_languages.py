@@ -2,6 +2,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pytest
 
 from sortloom.llm import languages as L
 from tests.llm.helpers import empty, odd, sampled
@@ -78,3 +79,56 @@ def test_undefined_rare_and_no_rows(spark):
     assert L.learn(many, sample=20).languages == ["de", "en"]
     spans = L.identify(docs, model, with_spans=True).where("doc_id = 9005").first()["spans"]
     assert spans[0]["start"] == 0 and spans[-1]["lang"] == "en"
+
+
+def test_more_labels_than_a_few_hundred_are_all_learned(spark):
+    """300 labels with letters of their own; more than LABELS are an error."""
+    rows = [(i, f"{chr(0x4E00 + i % 300) * 3} abc", f"l{i % 300:03d}") for i in range(900)]
+    model = L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 300 and model.predict([chr(0x4E00 + 299) * 3])[0][0] == "l299"
+    with pytest.raises(ValueError, match="more than"):
+        L.learn(spark.createDataFrame([(i, "a", f"l{i}") for i in range(L.LABELS + 1)], "doc_id long, text string, lang string"))
+
+
+def test_an_id_repeated_often_is_counted_once_a_text(spark):
+    rows = [(1, "the house on the hill", "en")] * 3000 + [(2, "der hund im haus", "de"), (3, "dog and cat", "en")]
+    model = L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=5000)
+    one = L.Model.learn(iter([("en", "the house on the hill"), ("en", "dog and cat"), ("de", "der hund im haus")]))
+    assert model.languages == one.languages and (model.codes == one.codes).all() and (model.scores == one.scores).all()
+
+
+def test_labels_equal_a_plain_viterbi(spark):
+    """lang_pred and score of real documents against word scores and a table written out in plain Python."""
+    docs = sampled(spark, 60)
+    model = L.learn(docs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in L.identify(docs, model).collect()}
+    number = {c: i for i, c in enumerate(model.codes.tolist())}
+
+    def scores(word):
+        out = [0.0] * len(model.languages)
+        padded = "\x02" + word + "\x03"
+        for i in range(len(word)):
+            a, b, c = map(ord, padded[i : i + 3])
+            row = model.scores[number.get(a << 42 | b << 21 | c, -1)]
+            out = [x + float(y) for x, y in zip(out, row, strict=True)]
+        if word in model.words:
+            out = [x + L.WORD_WEIGHT * float(y) for x, y in zip(out, model.words[word], strict=True)]
+        return [x - max(out) for x in out]
+
+    for r in docs.collect():
+        words = L.WORD.findall(L.lowered(r["text"] or ""))
+        if not words:
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        best, back = scores(words[0]), []
+        for w in words[1:]:
+            top = max(range(len(best)), key=best.__getitem__)
+            back.append([k if best[k] >= best[top] - L.SWITCH else top for k in range(len(best))])
+            best = [max(x, best[top] - L.SWITCH) + y for x, y in zip(best, scores(w), strict=True)]
+        k = max(range(len(best)), key=best.__getitem__)
+        letters = dict.fromkeys(range(len(best)), 0)
+        for w, b in zip(reversed(words), [*reversed(back), None], strict=True):
+            letters[k] += len(w)
+            k = b[k] if b else k
+        want = max(letters, key=letters.get)
+        assert got[r["doc_id"]][0] == model.languages[want] and abs(got[r["doc_id"]][1] - letters[want] / sum(letters.values())) < 1e-6
