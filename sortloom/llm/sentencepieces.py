@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding of merge-type (BPE) vocabularies.
 
 The encoder is a score-ordered agenda of adjacent symbol pairs. Every distinct stretch of text that
-it encodes and that begins with a blank is checked, in Arrow batches, against the sentencepiece library; other
-stretches (after a newline, tab, carriage return or `|`) are not.
+it encodes is checked, in Arrow batches, against the sentencepiece library; a difference is an error, so
+no ids come from anything but the agenda.
 
 Where a merge can happen is known beforehand: a merge makes a vocabulary piece, so two neighbouring
 characters that stand next to each other in no piece are never merged, and a text falls apart at such
@@ -38,7 +38,7 @@ LONG, NEVER = 36, np.int32(2**31 - 1)
 PACKED = np.dtype(np.uint32)
 #: Stretches in a worker's table before it becomes the older of two (together about 140 MB).
 REMEMBERED = 300_000
-SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_checked bigint, n_corrected bigint"
+SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_checked bigint"
 
 
 def public_model() -> str:
@@ -53,7 +53,7 @@ def packed(ids: list[int]) -> bytes:
 
 
 class Encoder:
-    """encode() gives a text's ids; `checked` and `corrected` count stretches held against the library."""
+    """encode() gives a text's ids; `checked` counts stretches held against the library."""
 
     def __init__(self, model: str, remembered: int = REMEMBERED, check: bool = True):
         import sentencepiece
@@ -78,12 +78,15 @@ class Encoder:
             raise ValueError("a vocabulary whose pieces run over word starts isn't supported")
         together = {c for pair in self.touching for c in pair}
         alone = "".join(c for c in "\n\t\r|" if c not in together)
+        #: What stands before a stretch without a blank when the library is asked, and its ids.
+        self.before = alone[:1]
+        self.before_ids = lib.encode(self.before) if alone else []
         x = re.escape(alone)
         self.stretches = re.compile(f" +[^ {x}]*|[^ {x}]+" + (f"|[{x}]" if alone else "")).findall
         self.decimals = [str(i) for i in range(n)]
         self._tables()
         self.remembered, self.check, self.known, self.older = remembered, check, {}, {}
-        self.checked = self.corrected = 0
+        self.checked = 0
 
     def agenda(self, text: str) -> list[int]:
         """Merges the best-scored adjacent pair (leftmost of equals) until none is in the vocabulary."""
@@ -211,16 +214,22 @@ class Encoder:
                 known |= ((p, new[p]) for p in parts)
             known[s] = b"".join(map(new.__getitem__, parts))
         if self.check and split:
-            # The library puts a mark before a text: what starts with one is given without it.
-            asked = [s for s in split.keys() | {p for parts in by_length.values() for p in parts} if s[0] == " " and s != " "]
-            own = [known[s] if s in known else new[s] for s in asked]
-            answers = self.library.encode([s[1:] for s in asked], num_threads=1)
-            self.checked += len(asked)
-            if b"".join(own) != packed(list(chain.from_iterable(answers))) or list(map(len, own)) != [len(x) * PACKED.itemsize for x in answers]:
-                for s, mine, theirs in zip(asked, own, map(packed, answers), strict=True):
-                    if mine != theirs:
-                        self.corrected += 1
-                        known[s] = theirs
+            # The library puts a mark before a text: what starts with one is given without it, anything else behind a character that merges with nothing.
+            inner = {p for parts in by_length.values() for p in parts if p[0] == " "}
+            marked = [s for s in split.keys() | inner if s[0] == " " and s != " "]
+            self._held_against([known[s] if s in known else new[s] for s in marked], [s[1:] for s in marked], 0)
+            other = [s for s in split if s[0] != " "]
+            self._held_against([known[s] for s in other], [self.before + s for s in other], len(self.before_ids))
+
+    def _held_against(self, own: list[bytes], asked: list[str], skip: int) -> None:
+        """Fails unless the library's ids, but for the first `skip`, are the own ones."""
+        answers = self.library.encode(asked, num_threads=1)
+        self.checked += len(asked)
+        if skip:
+            answers = [x[skip:] for x in answers]
+        if b"".join(own) != packed(list(chain.from_iterable(answers))) or list(map(len, own)) != [len(x) * PACKED.itemsize for x in answers]:
+            wrong = next(s for s, mine, theirs in zip(asked, own, map(packed, answers), strict=True) if mine != theirs)
+            raise ValueError(f"the agenda's ids differ from the library's for {wrong!r}")
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0][0]
@@ -266,7 +275,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool =
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 texts = [t or "" for t in batch.column(1).to_pylist()]
-                was = enc.checked, enc.corrected
+                was = enc.checked
                 got = enc.encode_all(texts)
                 decoded = enc.library.decode([ids for ids, _ in got], num_threads=1)
                 columns = [
@@ -274,10 +283,9 @@ def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool =
                     pa.array([len(ids) for ids, _ in got], pa.int64()),
                     pa.array([sha(line) for _, line in got]),
                     pa.array([sha(t) for t in decoded]),
-                    pa.array([enc.checked - was[0]] + [0] * (len(got) - 1), pa.int64()),
-                    pa.array([enc.corrected - was[1]] + [0] * (len(got) - 1), pa.int64()),
+                    pa.array([enc.checked - was] + [0] * (len(got) - 1), pa.int64()),
                 ]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_checked", "n_corrected"]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_checked"]
                 if with_ids:
                     columns, names = [*columns, pa.array([ids for ids, _ in got], pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)

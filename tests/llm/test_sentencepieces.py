@@ -34,7 +34,23 @@ def test_side_by_side_equals_one_by_one():
 def test_a_table_that_turns_over_changes_nothing(library):
     own = P.Encoder(P.public_model(), remembered=20)
     texts = [f"word{i % 37} and {i % 11} more" for i in range(300)]
-    assert [own.encode(t) for t in texts] == [list(library.encode(t)) for t in texts] and own.corrected == 0
+    assert [own.encode(t) for t in texts] == [list(library.encode(t)) for t in texts]
+
+
+def test_every_stretch_is_checked_and_a_difference_is_an_error(library):
+    texts = ["a b\nwords after\tothers|x 日本語\n\n| tail", *STRANGE]
+    own = P.Encoder(P.public_model())
+    seen = []
+    hold = own._held_against
+    own._held_against = lambda mine, asked, skip: (seen.extend(a if skip else " " + a for a in asked), hold(mine, asked, skip))
+    assert [ids for ids, _ in own.encode_all(texts)] == [list(library.encode(t)) for t in texts]
+    stretches = {s for t in texts for s in own.stretches(" " + t.replace(P.MARK, " "))} - {" "}
+    assert stretches <= {s if s[0] == " " else s[len(own.before) :] for s in seen} | set(seen)
+    for text in ("one two", "x\nthree"):
+        wrong = P.Encoder(P.public_model())
+        wrong.agendas = lambda parts, made=wrong.agendas: [x[:-4] + P.packed([7]) if p.strip() in ("two", "three") else x for p, x in zip(parts, made(parts), strict=True)]
+        with pytest.raises(ValueError, match="differ"):
+            wrong.encode(text)
 
 
 def test_query_equals_the_library(spark, library):
@@ -47,7 +63,7 @@ def test_query_equals_the_library(spark, library):
     rows = P.encode_documents(docs)
     got = [tuple(r) for r in rows.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
-    assert rows.agg({"n_corrected": "sum"}).first()[0] == 0
+    assert rows.agg({"n_checked": "sum"}).first()[0] > 0
     assert P.encode_documents(empty(spark)).count() == 0
 
 
