@@ -7,8 +7,9 @@ import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +26,14 @@ FOLD = {ord(u): ord(l) for u, l in zip(UPPER, LOWER, strict=True)}
 ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
+#: Splits of a table below which it is small (2 GB at most) and dealt to all cores before it is worked on.
+FEW_SPLITS = 16
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of so few splits that cores would stand idle is dealt to all of them, any larger one is read as it lies."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < min(cores, FEW_SPLITS) else rows
 
 
 def ascii_lower(c: Column) -> Column:
@@ -34,14 +41,16 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def trim_spaces(c: Column) -> Column:
-    return F.btrim(c, F.lit(SPACES))
+def one_space(c: Column) -> Column:
+    """Every white space of SPACES as a blank."""
+    for space in SPACES[1:]:
+        c = F.replace(c, F.lit(space), F.lit(" "))
+    return c
 
 
 def words_of(c: Column) -> Column:
-    """The words of a text (null: none) as an array, natively."""
-    trimmed = trim_spaces(F.coalesce(c, F.lit("")))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+", -1))
+    """The words of a text (null: none) as an array, natively: cut at single blanks, which needs no pattern, empty ones taken out."""
+    return F.array_remove(F.split(one_space(F.coalesce(c, F.lit(""))), " ", -1), "")
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -142,11 +151,82 @@ def let_go(*frames: DataFrame) -> None:
             place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Rows of numbers up to which a table of them is broadcast.
+BROADCAST_ROWS = 100_000
+
+
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """Marked for broadcast if a count (of a kept table, so of its footers) proves it small; else as it is, for a shuffled join that Spark may split."""
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+#: Rows of a key beyond which a join deals them to several tasks; keys that are dealt at most (the rest joins as it is).
+HOT_ROWS, HOT_KEYS = 2000, 100_000
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", by: list[str] | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """left.join(right, on, how), inner or left, where right has few rows of a key and left may have a third of all rows in one.
+
+    The rows of a key with more than HOT_ROWS are dealt to several tasks by a hash of the columns `by` (all, unless named), each
+    of which gets a copy of right's rows of that key. Counting is pre-aggregated, or done already: sizes has the keys and `rows`.
+    """
+    sizes = left.groupBy(*on).agg(F.count("*").alias("rows")) if sizes is None else sizes
+    hot = sizes.select(*on, F.ceil(F.col("rows") / HOT_ROWS).cast("int").alias("deals")).where("deals > 1").orderBy(F.desc("deals")).limit(HOT_KEYS)
+    hot = kept(hot)
+    if hot.isEmpty():
+        let_go(hot)
+        return left.join(right, on, how)
+    named = F.broadcast(hot)
+    dealt = left.join(named, on, "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64(*(by or left.columns)), F.col("deals")).cast("int"), F.lit(0))).drop("deals")
+    copies = right.join(named, on, "left").withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1))).drop("deals")
+    return dealt.join(copies, [*on, "deal"], how).drop("deal")
+
+
+class Sieve:
+    """Which numbers may be among some: a bit each of a table of at most 2**28 (32 MB), made natively and collected.
+
+    What it lets through holds all of them and about one in sixteen others (more only beyond sixteen million numbers); an exact
+    join may follow. So a table of texts is cut down where it lies, without a shuffle or a broadcast that grows with the input.
+    """
+
+    def __init__(self, numbers: DataFrame):
+        """numbers: one column of bigint."""
+        (name,) = numbers.columns
+        self.bits = max(16, min(28, (16 * max(1, numbers.count()) - 1).bit_length()))
+        at = self.cell(F.col(name)) + 1
+        parts = numbers.where(F.col(name).isNotNull()).groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("x"))
+        table = np.zeros(1 << self.bits - 3, np.uint8)
+        for r in parts.collect():
+            table[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["x"], np.uint8)[: len(table)]
+        self.table = numbers.sparkSession.sparkContext.broadcast(table)
+
+    def cell(self, number: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(number, F.lit(9)), 64 - self.bits)
+
+    def through(self, rows: DataFrame, column: str, inside: bool = True) -> DataFrame:
+        """The rows whose number may be among them; or, with inside=False, those whose number surely isn't (null isn't)."""
+        shared, schema = self.table, rows.schema
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = shared.value
+            for batch in batches:
+                cell = batch.column(batch.num_columns - 1)
+                at = cell.fill_null(0).to_numpy(zero_copy_only=False)
+                may = ((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) & cell.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.select(range(batch.num_columns - 1)).filter(pa.array(may == inside))
+
+        number = F.col(f"`{column}`")
+        return rows.select(*[F.col(f"`{c}`") for c in rows.columns], F.when(number.isNotNull(), self.cell(number)).alias("sieve_cell")).mapInArrow(run, schema)
+
+
+def without(rows: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+    """The rows whose number in `column` isn't in gone (one column of the same name): of a large table only those that may go are shuffled."""
+    if gone.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(gone), column, "left_anti")
+    sieve = Sieve(gone)
+    return sieve.through(rows, column, inside=False).unionByName(sieve.through(rows, column).join(gone, column, "left_anti"))
+
+
 _held: dict[str, Callable[[], object]] = {}
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sortloom.llm import wordhash as H
-from sortloom.llm.common import alone, kept, let_go, small, table
+from sortloom.llm.common import BROADCAST_ROWS, Sieve, alone, hot_join, kept, let_go, table
 
 CIRCLE, COORDINATES, BAND = 22, 128, 4
 BANDS = COORDINATES // BAND
@@ -42,8 +42,8 @@ BANDS = COORDINATES // BAND
 ORDERS = 4
 #: Members of a centre that are verified in one group; groups of a centre go to different tasks.
 GROUP = 500
-#: Ids up to which a table of them is broadcast (16 bytes each).
-BROADCAST_IDS = 1_000_000
+#: Centres that have several groups, at most: beyond, groups are larger.
+GROUPED = 100_000
 LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] += 32
 
@@ -106,7 +106,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """node and set (its sorted shingle hashes as bytes) of the documents with these ids."""
+    """node and set (its sorted shingle hashes as bytes) of the documents with these ids, and of a few others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,15 +114,18 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([s.tobytes() for s in shingle_sets(data, offsets, size)], pa.binary())], names=["node", "set"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text")
-    return rows.join(small(ids, BROADCAST_IDS), "node", "left_semi").mapInArrow(run, "node bigint, set binary")
+    return Sieve(ids).through(rows, "node").mapInArrow(run, "node bigint, set binary")
 
 
 def _beside(pairs: DataFrame, sets: DataFrame, work, schema: str) -> DataFrame:
-    """The rows that work(set of a, set of b) gives for each of the distinct pairs (a, b): a's set is sent once for each group of its partners."""
-    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
-    members = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), "b")
+    """The rows that work(set of a, set of b) gives for each of the distinct pairs (a, b), a kept table: a's set is sent once for each group of its partners."""
+    group = max(GROUP, -(-pairs.count() // GROUPED))
+    groups = kept(pairs.groupBy("a").agg(F.ceil(F.count("*") / group).cast("int").alias("groups")))
+    hot = groups.where("groups > 1")  # at most GROUPED rows
+    members = pairs.join(F.broadcast(hot), "a", "left").select("a", F.coalesce(F.pmod(F.xxhash64("b"), F.col("groups")), F.lit(0)).cast("int").alias("g"), "b")
     heads = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(None).cast("bigint").alias("b"))
     asked = kept(heads.union(members).withColumn("node", F.coalesce("b", "a")))
+    let_go(groups)
     fields = [f.split() for f in schema.split(", ")]
     arrow = [{"bigint": pa.int64(), "binary": pa.binary()}[kind] for _, kind in fields]
 
@@ -143,9 +146,9 @@ def _beside(pairs: DataFrame, sets: DataFrame, work, schema: str) -> DataFrame:
                 columns = list(zip(*out, strict=True)) or [[]] * len(arrow)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow, strict=True)], names=[name for name, _ in fields])
 
-    # The sets are joined once for both sides, and only those asked for are shuffled.
-    ids = kept(asked.select("node").distinct())
-    streams = asked.join(sets.join(small(ids, BROADCAST_IDS), "node", "left_semi"), "node").select("a", "g", "b", "set")
+    # Only the sets asked for are shuffled.
+    wanted = Sieve(asked.select("node").distinct()).through(sets, "node")
+    streams = asked.join(wanted, "node").select("a", "g", "b", "set")
     return streams.repartition("a", "g").sortWithinPartitions("a", "g", F.col("b").asc_nulls_first()).mapInArrow(run, schema)
 
 
@@ -194,18 +197,18 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(links: DataFrame) -> DataFrame:
     """node, label (the smallest id it is connected with) for every linked id, by alternating star steps."""
-    edges = kept(links.select("a", "b").where("a <> b").mapInArrow(_forest, "u bigint, v bigint"))
+    edges = kept(links.select("a", "b").where("a <> b").mapInArrow(_forest, "u bigint, v bigint"))  # u > v
     while True:
-        # Large star: larger neighbours of u are linked to the smallest id around u.
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Large star: what is above v is linked to the smallest id around v, v itself unless there is a link down from it.
+        down = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = kept(hot_join(edges, down, ["v"], "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
         # Small star: u and its smaller neighbours are linked to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = kept(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
+        moved = hot_join(large, least, ["u"]).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before, edges = edges, kept(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
+        let_go(before, large)
         # Done when every component is one star: each node has one link down, and what it is linked to has none.
-        chained = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi")
+        chained = edges.select("v").distinct().join(edges.select(F.col("u").alias("v")), "v", "left_semi")
         if chained.isEmpty() and edges.groupBy("u").count().where("count > 1").isEmpty():
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select("v", F.col("v").alias("label")).distinct())
@@ -214,10 +217,11 @@ def components(links: DataFrame) -> DataFrame:
 def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
     """Labels after more links, which join whole components."""
     named = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
-    between = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).distinct()
-    moved = kept(components(kept(between)))
+    between = kept(more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).distinct())
+    moved = kept(components(between))
+    let_go(between)
     new = moved.join(labels, "node", "left_anti")
-    old = labels.join(moved.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    old = hot_join(labels, moved.toDF("label", "to"), ["label"], "left").select("node", F.coalesce("to", "label").alias("label"))
     return old.union(new)
 
 
@@ -226,13 +230,13 @@ def _left(sets: DataFrame, members: DataFrame, centres: DataFrame, tested: DataF
     sides = tested.select("a", "b", "na", "nb", "both").union(tested.select("b", "a", "nb", "na", "both"))
     degree = links.select(F.col("a").alias("c")).union(links.select("b")).groupBy("c").agg(F.count("*").alias("links"))
     reference = centres.join(degree, "c", "left").groupBy("key").agg(F.max_by("c", F.struct(F.coalesce("links", F.lit(0)), "c")).alias("ref"))
-    placed = members.join(reference, "key").select("ref", "node").distinct()
+    placed = hot_join(members, reference, ["key"]).select("ref", "node").distinct()
     placed = placed.join(labels, "node", "left").select("ref", "node", F.coalesce("label", "node").alias("label"))
     placed = kept(placed)
     each = placed.groupBy("ref", "label").agg(F.count("*").alias("k"))
     main = each.groupBy("ref").agg(F.count("*").alias("labels"), F.sum("k").alias("members"), F.max_by("label", F.struct("k", "label")).alias("main")).where("labels > 1 and members > 2").select("ref", "main")
     known = sides.toDF("ref", "node", "nr", "n", "m")
-    others = placed.where("ref <> node").join(main, "ref").join(known, ["ref", "node"]).select("ref", "node", "label", "main", "n", "m")
+    others = hot_join(placed.where("ref <> node"), main, ["ref"]).join(known, ["ref", "node"]).select("ref", "node", "label", "main", "n", "m")
     others = kept(others)
     # The reference itself is tested against every member, so pairs are among the others.
     pairs = kept(others.select(F.col("ref").alias("a"), F.col("node").alias("b")))
@@ -252,7 +256,7 @@ def _possible(rows: DataFrame, percent: int) -> DataFrame:
     """
     few, every = F.col("label") != F.col("main"), F.lit(1)
     sizes = rows.groupBy("ref").agg(F.ceil(F.count_if(few) / GROUP).cast("int").alias("blocks"), F.ceil(F.count(every) / (8 * GROUP)).cast("int").alias("groups"))
-    placed = rows.join(sizes, "ref").where("blocks > 0")
+    placed = hot_join(rows, sizes, ["ref"], by=["ref", "node"]).where("blocks > 0")
     of = lambda count, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(count)).cast("int")
     up_to = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     columns = ["node", "label", "main", "n", "m", "outside"]
@@ -300,14 +304,17 @@ def link_classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, D
     )
     nodes = classes.where("node is not null")
     rows = nodes.select(F.explode("bands").alias("key"), "node")
-    buckets = rows.groupBy("key").agg(F.min("node").alias("c0"), F.max("node").alias("last")).where("c0 < last").select("key")
-    members = kept(rows.join(kept(buckets), "key"))
+    buckets = kept(rows.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"))
+    members = kept(hot_join(rows, buckets.select("key"), ["key"], sizes=buckets))
+    let_go(buckets)
     orders = [F.min_by("node", F.xxhash64("node", F.lit(k)) if k else F.col("node")).alias(f"c{k}") for k in range(ORDERS)]
     centres = kept(members.groupBy("key").agg(*orders).select("key", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(ORDERS)]))).alias("c")))
-    first = members.join(centres, "key").where("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+    first = hot_join(members, centres, ["key"]).where("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
     first = kept(first)
     # Whatever is verified later is a member of some bucket, so these sets serve to the end.
-    sets = kept(_sets(docs, kept(first.select(F.col("a").alias("node")).union(first.select("b")).distinct()), size))
+    ids = kept(first.select(F.col("a").alias("node")).union(first.select("b")).distinct())
+    sets = kept(_sets(docs, ids, size))
+    let_go(ids)
     tested = measured(first, sets)
     links = kept(linked(tested, percent))
     labels = kept(components(links))
@@ -324,8 +331,8 @@ def link_classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, D
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     rows, classes = link_classes(docs, size, percent)
-    named = classes.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "component")
-    joined = rows.join(small(named, BROADCAST_IDS), (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") > 0), "left")
+    named = classes.select("f1", "f2", "component")
+    joined = rows.join(F.broadcast(named), ["f1", "f2"], "left") if named.count() <= BROADCAST_ROWS else hot_join(rows, named, ["f1", "f2"], "left", by=["doc_id"])
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 

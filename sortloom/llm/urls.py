@@ -7,7 +7,8 @@ fit the longest wins, and among equally long ones the longer host, then a block.
 
 Only native expressions are used. URLs are expanded and joined once for each distinct site part (host and as
 much of the path as rules read), so a site with a third of the pages costs as much as any other; the
-rules are broadcast if a count proves them small, else the join is shuffled and salted.
+rules are broadcast if a count proves them small, else the join is shuffled and salted. Pages then get the rule of their
+site part by a broadcast of a counted size, or by a join that deals the pages of a hot site to several tasks.
 
 Defined results: null URLs and those without `://` have an empty host and path, and fit no rule; hosts keep their port
 and user part; only A-Z are lower-cased, in hosts only; repeated rows get equal results; without a fitting rule the verdict
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortloom.llm.common import ascii_lower, kept, table
+from sortloom.llm.common import BROADCAST_ROWS, ascii_lower, hot_join, kept, table
 
 #: Hexadecimal digits of the short prefix; rules up to which they are broadcast; salts of a shuffled join.
 PREFIX, BROADCAST_RULES, SALTS = 8, 50_000, 16
@@ -74,11 +75,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     joined = joined.where((F.col("suffix") == F.col("rule_host")) & (F.col("prefix") == F.col("rule_path")))
     order = F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"), F.col("rule_verdict") == "block", "rule_host", "rule_path")
     best = joined.groupBy("host", "site_path").agg(F.max(F.struct(order.alias("o"), F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("x"))
-    best = best.select(F.col("host").alias("h"), F.col("site_path").alias("p"), "x.rule", "x.verdict")
-    return (
-        parts.join(best, (F.col("host") == F.col("h")) & (F.col("site_path") == F.col("p")), "left")
-        .select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
-    )
+    best = kept(best.select("host", "site_path", "x.rule", "x.verdict"))
+    on = ["host", "site_path"]
+    found = parts.join(F.broadcast(best), on, "left") if best.count() <= BROADCAST_ROWS else hot_join(parts, best, on, "left")
+    return found.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
