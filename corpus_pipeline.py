@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sortloom.llm import decontaminate, languages, neardup, personal, sentencepieces
-from sortloom.llm.common import kept, small, table
+from sortloom.llm.common import kept, table, without
 
 #: The least language score that a document stays with.
 LEAST_SCORE = 0.3
@@ -39,8 +39,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
         rows = kept(docs.dropDuplicates(["doc_id", "text"]).orderBy(*order).withColumn("row", F.monotonically_increasing_id()))
     found = neardup.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), size=5, percent=80)
-    stay = kept(found.where("kept").select(F.col("doc_id").alias("row")))
-    return rows.join(small(stay, neardup.BROADCAST_IDS), "row", "left_semi").select(COLUMNS)
+    gone = kept(found.where("not kept").select(F.col("doc_id").alias("row")))
+    return without(rows, gone, "row").select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
