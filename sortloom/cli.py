@@ -16,7 +16,7 @@ from sortloom.sources import fixedrec, gensort
 
 #: Kinds of input and output and the scheme of their paths.
 STORES = {"fs": None, "awscli": "s3", "awscurl": "s3", "gcp": "gs"}
-#: With --client command, what reads and writes an object; awscurl has none and passes through the store's library.
+#: With --client command, what reads and writes an object.
 GET = {"awscli": "aws s3 cp --cli-connect-timeout 15 --cli-read-timeout 15 {url} -", "gcp": "gsutil cp {url} -"}
 PUT = {"awscli": "aws s3 cp --storage-class {storage_class} - {url}", "gcp": "gsutil cp - {url}"}
 
@@ -36,9 +36,9 @@ def arguments() -> argparse.ArgumentParser:
     sort.add_argument("--download_timeout", type=int)
     sort.add_argument("--chunk_size", type=int)
     sort.add_argument("--sampled", action="store_true", help="boundaries from a sample of the keys")
-    sort.add_argument("--client", choices=["library", "command"], default="library", help="objects pass through the store's library (its credentials, retries and transfers; awscli and awscurl are the same), or through the aws and gsutil commands")
+    sort.add_argument("--client", choices=["library", "command", "signed"], default="library", help="awscli and gcp: objects pass through the store's library (its credentials, retries and transfers), or through the aws and gsutil commands, or through signed URLs, as awscurl's always do")
     sort.add_argument("--storage_class", help="of objects that awscli writes; one other than STANDARD needs --client command")
-    sort.add_argument("--upload_timeout", type=float, help="seconds that a command may take after the last byte of an object")
+    sort.add_argument("--upload_timeout", type=float, help="seconds that a command may take after the last byte of an object, or a signed upload without an answer")
     sort.add_argument("--concurrent_files", type=int, help="uploads of an executor at a time, at least its cores: each task uploads one object at a time")
     gen = sub.add_parser("gensort", help="write generated records")
     gen.add_argument("-a", action="store_true", help="ASCII records")
@@ -69,14 +69,19 @@ def place(args, side: str) -> str:
     return f"{scheme}://{bucket}/{prefix}"
 
 
+def signs(args, side: str) -> bool:
+    """Whether a side's objects pass through signed URLs."""
+    return getattr(args, side) == "awscurl" or args.client == "signed" and getattr(args, side) in PUT
+
+
 def refused(args, cores: int | None = None) -> None:
     """Ends on options that can't be kept."""
     if args.output == "awscli" and not args.storage_class:
         raise SystemExit("--storage_class is needed")
     if args.storage_class and args.storage_class != "STANDARD" and not (args.output == "awscli" and args.client == "command"):
         raise SystemExit("--storage_class other than STANDARD needs --output awscli and --client command")
-    if args.upload_timeout and not (args.output in PUT and args.client == "command"):
-        raise SystemExit("--upload_timeout needs --client command and --output awscli or gcp")
+    if args.upload_timeout and not (signs(args, "output") or args.output in PUT and args.client == "command"):
+        raise SystemExit("--upload_timeout needs awscurl, or --client command or signed and --output awscli or gcp")
     if args.concurrent_files and cores and args.concurrent_files < cores:
         raise SystemExit(f"--concurrent_files {args.concurrent_files}: an executor has {cores} cores and so many uploads at a time; set spark.executor.cores")
 
@@ -91,8 +96,8 @@ def job_of(args) -> Job:
         input_count=args.input_count if args.input == "generate" else None,
         output_path=None if args.output == "discard" else place(args, "output"),
         sampled=args.sampled,
-        reader=given(buffer_size=args.buffer_size, download_timeout=args.download_timeout, get_command=GET.get(args.input) if args.client == "command" else None),
-        writer=given(chunk_bytes=args.chunk_size, upload_timeout=args.upload_timeout, storage_class=args.storage_class, put_command=PUT.get(args.output) if args.client == "command" else None),
+        reader=given(signed=signs(args, "input") or None, buffer_size=args.buffer_size, download_timeout=args.download_timeout, get_command=GET.get(args.input) if args.client == "command" else None),
+        writer=given(signed=signs(args, "output") or None, chunk_bytes=args.chunk_size, upload_timeout=args.upload_timeout, storage_class=args.storage_class, put_command=PUT.get(args.output) if args.client == "command" else None),
     )
 
 

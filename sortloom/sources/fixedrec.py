@@ -14,7 +14,7 @@ the manifest, written last, commits what it lists; tasks mustn't run twice at a
 Paths are local, or have the scheme of a store that pyarrow opens (s3, s3a, gs, hdfs); credentials come from the
 environment or the instance, never from options. A read that fails is opened again where it stopped; failures
 count from the last progress on. With get_command or put_command objects pass through a client's command in place of pyarrow ({url} stands for
-the object), which reads are resumed with too; an upload that fails or takes longer than upload_timeout after its last byte fails its task, which Spark runs again.
+the object), which reads are resumed with too; with signed=true through signed URLs (`signed`), uploads in objects of at most HELD bytes. An upload that fails or takes longer than upload_timeout after its last byte fails its task, which Spark runs again.
 """
 
 from __future__ import annotations
@@ -39,8 +39,11 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from sortloom.functions.record import KEY_BYTES, RECORD_BYTES
 from sortloom.operators.validate import Running
 from sortloom.sources.gensort import as_binary
+from sortloom.sources.signed import Download, SignedUpload
 
 BUFFER, SPLIT, RETRIES, LEAST_TIMEOUT = 8 << 20, 256 << 20, 3, 30.0
+#: The largest object that is held in memory for an upload to a signed URL.
+HELD = 512 << 20
 #: Requests that the driver has under way at a time when it commits.
 AT_ONCE = 64
 MANIFEST, SUMMARIES, STAGING = "_manifest.json", "_summaries.json", "_staging"
@@ -159,6 +162,7 @@ class FixedReader(DataSourceReader):
         self.path = options["path"]
         self.strict = str(options.get("strict", "false")).lower() == "true"
         self.get_command = options.get("get_command")
+        self.signed, self.endpoint = str(options.get("signed", "false")).lower() == "true", options.get("endpoint")
         # A command writes an object from its start, so it is read as one.
         self.split = (1 << 62) if self.get_command else max(RECORD_BYTES, int(options.get("split_bytes", SPLIT)))
         self.buffer = max(RECORD_BYTES, int(options.get("buffer_size", BUFFER)) // RECORD_BYTES * RECORD_BYTES)
@@ -174,14 +178,19 @@ class FixedReader(DataSourceReader):
             out += [Split(path, s, n, size) for s, n in cuts if n]
         return out or [Split("", 0, 0, 0)]
 
+    def _open(self, store, name: str):
+        if self.signed:
+            return Download(url_of(self.path, name), self.endpoint)
+        return Piped(command(self.get_command, url_of(self.path, name))) if self.get_command else store.open_input_file(name)
+
     def read(self, partition) -> Iterator[pa.RecordBatch]:
         """Opens again where it stopped when a read fails or is slow: each attempt has time in proportion to what is left."""
-        store = None if self.get_command else opened(self.path)[0]
+        store = None if self.get_command or self.signed else opened(self.path)[0]
         at, end, failures = partition.start, partition.start + partition.length, 0
         while at < end:
             deadline = time.monotonic() + max(LEAST_TIMEOUT, self.timeout * (end - at) / max(1, partition.size))
             try:
-                with Piped(command(self.get_command, url_of(self.path, partition.path))) if self.get_command else store.open_input_file(partition.path) as f:
+                with self._open(store, partition.path) as f:
                     f.seek(at)
                     while at < end:
                         data = f.read(min(self.buffer, end - at))
@@ -214,7 +223,10 @@ class FixedWriter(DataSourceArrowWriter):
         self.job = uuid.uuid4().hex
         self.put_command, self.storage_class = options.get("put_command"), options.get("storage_class", "STANDARD")
         self.timeout = float(options.get("upload_timeout", 60))
-        self.direct = bool(self.put_command) or str(options.get("direct", self.path.startswith(("s3://", "s3a://", "gs://")))).lower() == "true"
+        self.signed, self.endpoint = str(options.get("signed", "false")).lower() == "true", options.get("endpoint")
+        if self.signed and self.chunk > HELD:
+            raise ValueError(f"signed uploads need chunk_bytes of at most {HELD}")
+        self.direct = bool(self.put_command) or self.signed or str(options.get("direct", self.path.startswith(("s3://", "s3a://", "gs://")))).lower() == "true"
         if self.direct:
             active = SparkSession.getActiveSession()
             speculates = options.get("speculation") or (active.conf.get("spark.speculation", "false") if active else "false")
@@ -244,11 +256,9 @@ class FixedWriter(DataSourceArrowWriter):
                     seen.add(rows[:, :KEY_BYTES], crcs.to_numpy(zero_copy_only=False))
                 while at < end:
                     if out is None:
-                        if not objects and not self.put_command:
+                        if not objects and not self.put_command and not self.signed:
                             store.create_dir(staged, recursive=True)
-                        name = f"{staged}/{len(objects)}"
-                        out = Upload(command(self.put_command, url_of(self.path, name), storage_class=self.storage_class), self.timeout) if self.put_command else store.open_output_stream(name)
-                        held = 0
+                        out, held = self._open(store, f"{staged}/{len(objects)}"), 0
                     take = min(end - at, self.chunk - held)
                     out.write(data.slice(at, take))
                     at, held = at + take, held + take
@@ -264,6 +274,13 @@ class FixedWriter(DataSourceArrowWriter):
         row = seen.row(task.partitionId())
         return Written(task.partitionId(), staged, objects, {k: v.hex() if isinstance(v, bytes) else str(v) if k == "checksum" else v for k, v in row.items()} if seen.count else None)
 
+    def _open(self, store, name: str):
+        if self.signed:
+            return SignedUpload(url_of(self.path, name), self.timeout, self.endpoint)
+        if self.put_command:
+            return Upload(command(self.put_command, url_of(self.path, name), storage_class=self.storage_class), self.timeout)
+        return store.open_output_stream(name)
+
     def commit(self, messages):
         store, base = opened(self.path)
         done = sorted((m for m in messages if m), key=lambda m: m.partition)
@@ -305,7 +322,7 @@ class FixedWriter(DataSourceArrowWriter):
 
 class FixedRecordSource(DataSource):
     """format("fixedrec"): options path; reading strict, split_bytes, buffer_size, download_timeout, retries,
-    get_command; writing chunk_bytes, put_command, storage_class, upload_timeout, direct."""
+    get_command, signed, endpoint; writing chunk_bytes, put_command, storage_class, upload_timeout, signed, endpoint, direct."""
 
     @classmethod
     def name(cls):
