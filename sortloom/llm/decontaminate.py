@@ -148,7 +148,7 @@ class Items:
         #: Of each class the words that a window and edits can take up, the pairs that it must hold, and how far edits move places.
         most = np.array(self.most)
         self.needs = {c: (int((size + most)[of_class == c].max()), int((size - 1 - 2 * most)[of_class == c].min()), int(most[of_class == c].max())) for c in self.classes}
-        self.tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for repeat in range(REPEATS):
             words = np.concatenate(flat if repeat % 2 == 0 else [w[::-1] for w in flat])
             for c in self.classes:
@@ -156,7 +156,9 @@ class Items:
                     own = np.flatnonzero(of_class == c)
                     key = walk_keys(words, first[own], repeat, [c])[c]
                     order = np.argsort(key, kind="stable")
-                    self.tables[repeat, c] = key[order], own[order], marked((key >> H.U(64 - SEEN_BITS)).astype(np.int64))
+                    self.tables[repeat, c] = key[order], own[order]
+        #: One table for the keys of all classes and repetitions: three such tables are sent, whatever the items.
+        self.keys = marked((np.concatenate([key for key, _ in self.tables.values()]) >> H.U(64 - SEEN_BITS)).astype(np.int64))
 
     def possible(self, words: np.ndarray, classes: list[int]) -> np.ndarray:
         """Where windows of some class start that hold enough of the items' pairs of words, and, as edits move places, those beside them."""
@@ -198,8 +200,8 @@ class Items:
                     continue
                 keys = walk_keys(short, start, repeat, classes)
                 for c in classes:
-                    known, item, seen = self.tables[repeat, c]
-                    maybe = np.flatnonzero(seen[(keys[c] >> H.U(64 - SEEN_BITS)).astype(np.int64)])
+                    known, item = self.tables[repeat, c]
+                    maybe = np.flatnonzero(self.keys[(keys[c] >> H.U(64 - SEEN_BITS)).astype(np.int64)])
                     low, high = np.searchsorted(known, keys[c][maybe], "left"), np.searchsorted(known, keys[c][maybe], "right")
                     n = high - low
                     if n.any():

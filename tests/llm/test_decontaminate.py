@@ -1,3 +1,4 @@
+import pickle
 import random
 import re
 
@@ -157,6 +158,12 @@ def test_passages_within_the_threshold_are_found_with_their_edits():
     assert missed <= 0.02 * len(items), missed
 
 
+def test_what_is_sent_to_workers_is_small(spark):
+    """Tables of fixed size and a few numbers for each item and repetition."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()
+    assert len(pickle.dumps(D.Items([(r["item_id"], r["text"]) for r in rows], 0.8))) < 16 << 20
+
+
 def test_very_long_items_and_texts():
     rng = random.Random(9)
     names = [f"w{k}" for k in range(3000)]
