@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import re
@@ -127,6 +128,9 @@ def _own_root(spark: SparkSession) -> str:
     return held
 
 
+_made: list[DataFrame] = []
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The rows written as a table in the shared folder and read again: lineage ends, any executor may be lost."""
     path, conf = scratch(df.sparkSession), df.sparkSession.conf
@@ -138,6 +142,7 @@ def kept(df: DataFrame) -> DataFrame:
         conf.set(ARROW_ROWS, was)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.kept_at = path
+    _made.append(out)
     return out
 
 
@@ -149,6 +154,25 @@ def let_go(*frames: DataFrame) -> None:
             sc = df.sparkSession.sparkContext
             place = sc._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+            _made[:] = [x for x in _made if x is not df]
+
+
+def kept_alone(make: Callable[[], DataFrame]) -> DataFrame:
+    """What make gives, kept; whatever tables it has kept on its way are deleted then."""
+    before = list(_made)
+    out = kept(make())
+    let_go(*[x for x in _made if x is not out and not any(x is y for y in before)])
+    return out
+
+
+def _let_all_go() -> None:
+    """At the end of the program: tables that a result may have been read from until now."""
+    with contextlib.suppress(Exception):
+        if SparkSession.getActiveSession():
+            let_go(*_made)
+
+
+atexit.register(_let_all_go)
 
 
 #: Rows of numbers up to which a table of them is broadcast.
@@ -170,13 +194,14 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner
     The rows of a key with more than HOT_ROWS are dealt to several tasks by a hash of the columns `by` (all, unless named), each
     of which gets a copy of right's rows of that key. Counting is pre-aggregated, or done already: sizes has the keys and `rows`.
     """
+    if getattr(left, "kept_at", None) and left.count() <= HOT_ROWS:
+        return left.join(right, on, how)
     sizes = left.groupBy(*on).agg(F.count("*").alias("rows")) if sizes is None else sizes
     hot = sizes.select(*on, F.ceil(F.col("rows") / HOT_ROWS).cast("int").alias("deals")).where("deals > 1").orderBy(F.desc("deals")).limit(HOT_KEYS)
-    hot = kept(hot)
-    if hot.isEmpty():
-        let_go(hot)
+    found = hot.collect()  # at most HOT_KEYS rows
+    if not found:
         return left.join(right, on, how)
-    named = F.broadcast(hot)
+    named = F.broadcast(left.sparkSession.createDataFrame(found, hot.schema))
     dealt = left.join(named, on, "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64(*(by or left.columns)), F.col("deals")).cast("int"), F.lit(0))).drop("deals")
     copies = right.join(named, on, "left").withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1))).drop("deals")
     return dealt.join(copies, [*on, "deal"], how).drop("deal")

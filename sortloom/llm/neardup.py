@@ -42,6 +42,8 @@ BANDS = COORDINATES // BAND
 ORDERS = 4
 #: Members of a centre that are verified in one group; groups of a centre go to different tasks.
 GROUP = 500
+#: Links, after those of each chunk are put together, up to which one task puts together the rest.
+ONE_TASK = 200_000
 #: Centres that have several groups, at most: beyond, groups are larger.
 GROUPED = 100_000
 LOWERED = np.arange(256, dtype=np.uint8)
@@ -196,9 +198,13 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label (the smallest id it is connected with) for every linked id, by alternating star steps."""
+    """node, label (the smallest id it is connected with) for every linked id, by alternating star steps, or by one task if a count proves the links few."""
     edges = kept(links.select("a", "b").where("a <> b").mapInArrow(_forest, "u bigint, v bigint"))  # u > v
-    while True:
+    few = edges.count() <= ONE_TASK
+    if few:
+        before, edges = edges, kept(edges.coalesce(1).mapInArrow(_forest, "u bigint, v bigint"))
+        let_go(before)
+    while not few:
         # Large star: what is above v is linked to the smallest id around v, v itself unless there is a link down from it.
         down = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
         large = kept(hot_join(edges, down, ["v"], "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
@@ -305,7 +311,9 @@ def link_classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, D
     nodes = classes.where("node is not null")
     rows = nodes.select(F.explode("bands").alias("key"), "node")
     buckets = kept(rows.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"))
-    members = kept(hot_join(rows, buckets.select("key"), ["key"], sizes=buckets))
+    keys = buckets.select("key")
+    shared = Sieve(keys).through(rows, "key")  # most keys are of one node only and aren't shuffled a second time
+    members = kept(hot_join(shared, keys, ["key"], sizes=buckets))
     let_go(buckets)
     orders = [F.min_by("node", F.xxhash64("node", F.lit(k)) if k else F.col("node")).alias(f"c{k}") for k in range(ORDERS)]
     centres = kept(members.groupBy("key").agg(*orders).select("key", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(ORDERS)]))).alias("c")))

@@ -1,8 +1,10 @@
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from sortloom.llm import neardup
+from sortloom.llm import common, neardup
 from sortloom.llm import wordhash as H
 from tests.llm.helpers import both, duck, empty, odd, same
 from tests.llm.test_substrings import thue_morse
@@ -89,12 +91,54 @@ def test_signatures_agree_as_similarity_says():
     assert abs(agree - 0.6) < 0.15
 
 
-def test_chain_of_links_is_one_component(spark):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_chain_of_links_is_one_component(spark, monkeypatch, few):
+    monkeypatch.setattr(neardup, "ONE_TASK", few)
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (7, 7)], "a long, b long").repartition(7)
     got = {r["node"]: r["label"] for r in neardup.components(links).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("name", ["documents", "copies"])
+def test_beyond_every_bound_the_result_is_the_same(spark, monkeypatch, name):
+    """No broadcast of ids, keys hot from three rows on, groups of two partners, few of them: the paths of large tables."""
+    if name == "documents":
+        docs = both(spark, 200).where("doc_id is not null").select("doc_id", "text")
+    else:
+        rng = np.random.default_rng(3)
+        base = [f"w{i}" for i in range(60)]
+        rows = [(i, " ".join(f"x{i}" if k == p else w for k, w in enumerate(base))) for i, p in enumerate(rng.integers(0, 90, 70).tolist())]
+        docs = spark.createDataFrame([*rows, *[(100 + i, " ".join(base)) for i in range(40)]], "doc_id long, text string")
+    want = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()], 2)
+    for module, bound, value in ((common, "BROADCAST_ROWS", 0), (neardup, "BROADCAST_ROWS", 0), (common, "HOT_ROWS", 3), (neardup, "GROUP", 2), (neardup, "GROUPED", 20), (neardup, "ONE_TASK", 0)):
+        monkeypatch.setattr(module, bound, value)
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, 2).collect()} == want
+
+
+def test_a_sieve_lets_its_numbers_through_and_few_others(spark):
+    numbers = spark.createDataFrame([(i * 7919,) for i in range(3000)] + [(None,), (-5,)], "x long")
+    sieve = common.Sieve(numbers)
+    rows = spark.range(-10, 40_000).select(F.col("id").alias("x"), F.lit("t").alias("y")).union(numbers.select("x", F.lit("own")))
+    through = [r["x"] for r in sieve.through(rows, "x").where("y = 'own'").collect()]
+    assert sorted(through) == sorted([i * 7919 for i in range(3000)] + [-5])
+    others = sieve.through(rows, "x").where("y = 't'").count()
+    assert others < 0.1 * 40_000 and others + sieve.through(rows, "x", inside=False).where("y = 't'").count() == 40_010
+    assert common.Sieve(numbers.limit(0)).through(rows, "x").count() == 0
+    for bound in (0, 10**6):
+        common_rows, common.BROADCAST_ROWS = common.BROADCAST_ROWS, bound
+        left = common.without(rows, numbers.where("x is not null"), "x")
+        assert left.where("y = 'own' and x is not null").count() == 0 and left.where("x is null").count() == 1 and left.count() == 40_010 - 7 + 1
+        common.BROADCAST_ROWS = common_rows
+
+
+def test_a_join_that_deals_hot_keys_is_a_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    left = spark.createDataFrame([(k, i) for k in (None, 1, 2, 3) for i in range((k or 2) * 9)], "k long, i long")
+    right = spark.createDataFrame([(1, "a"), (1, "b"), (3, "c"), (4, "d"), (None, "e")], "k long, v string")
+    for how in ("inner", "left"):
+        assert sorted(map(str, common.hot_join(left, right, ["k"], how).select("k", "i", "v").collect())) == sorted(map(str, left.join(right, ["k"], how).select("k", "i", "v").collect()))
+
+
 def test_odd_and_no_rows(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
     got = {r["doc_id"]: r for r in neardup.near_duplicates(odd(spark), 2).where("doc_id is not null").collect()}
