@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sortloom.llm import decontaminate, languages, neardup, personal, sentencepieces
-from sortloom.llm.common import kept, table, without
+from sortloom.llm.common import kept, kept_alone, let_go, table, without
 
 #: The least language score that a document stays with.
 LEAST_SCORE = 0.3
@@ -63,5 +63,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = kept(stage(spark, docs, sf_dir))
+        before, docs = docs, kept_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        let_go(before)
     return STAGES[-1][1](spark, docs, sf_dir)
