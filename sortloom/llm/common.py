@@ -207,6 +207,20 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner
     return dealt.join(copies, [*on, "deal"], how).drop("deal")
 
 
+@contextlib.contextmanager
+def same_joins(spark: SparkSession) -> Iterator[None]:
+    """Joins are shuffled unless broadcast is asked for after a count: plans are the same at every size."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name in names:
+        spark.conf.set(name, "-1")
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 class Sieve:
     """Which numbers may be among some: a bit each of a table of at most 2**28 (32 MB), made natively and collected.
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sortloom.llm import wordhash as H
-from sortloom.llm.common import BROADCAST_ROWS, Sieve, alone, hot_join, kept, let_go, table
+from sortloom.llm.common import BROADCAST_ROWS, Sieve, alone, hot_join, kept, let_go, same_joins, table
 
 CIRCLE, COORDINATES, BAND = 22, 128, 4
 BANDS = COORDINATES // BAND
@@ -262,7 +262,8 @@ def _possible(rows: DataFrame, percent: int) -> DataFrame:
     """
     few, every = F.col("label") != F.col("main"), F.lit(1)
     sizes = rows.groupBy("ref").agg(F.ceil(F.count_if(few) / GROUP).cast("int").alias("blocks"), F.ceil(F.count(every) / (8 * GROUP)).cast("int").alias("groups"))
-    placed = hot_join(rows, sizes, ["ref"], by=["ref", "node"]).where("blocks > 0")
+    sizes = kept(sizes.where("blocks > 0"))
+    placed = rows.join(F.broadcast(sizes), "ref") if sizes.count() <= BROADCAST_ROWS else hot_join(rows, sizes, ["ref"], by=["ref", "node"])
     of = lambda count, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(count)).cast("int")
     up_to = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     columns = ["node", "label", "main", "n", "m", "outside"]
@@ -338,7 +339,8 @@ def link_classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, D
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
-    rows, classes = link_classes(docs, size, percent)
+    with same_joins(docs.sparkSession):
+        rows, classes = link_classes(docs, size, percent)
     named = classes.select("f1", "f2", "component")
     joined = rows.join(F.broadcast(named), ["f1", "f2"], "left") if named.count() <= BROADCAST_ROWS else hot_join(rows, named, ["f1", "f2"], "left", by=["doc_id"])
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
