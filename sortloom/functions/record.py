@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 RECORD_BYTES, KEY_BYTES = 100, 10
