@@ -228,9 +228,7 @@ class FixedWriter(DataSourceArrowWriter):
             raise ValueError(f"signed uploads need chunk_bytes of at most {HELD}")
         self.direct = bool(self.put_command) or self.signed or str(options.get("direct", self.path.startswith(("s3://", "s3a://", "gs://")))).lower() == "true"
         if self.direct:
-            active = SparkSession.getActiveSession()
-            speculates = options.get("speculation") or (active.conf.get("spark.speculation", "false") if active else "false")
-            if str(speculates).lower() == "true":
+            if str(options.get("speculation", "false")).lower() == "true":  # write() tells what the session has
                 raise ValueError("tasks mustn't run twice at a time where objects can't be renamed: set spark.speculation to false")
 
     def write(self, iterator):
@@ -353,4 +351,5 @@ def summaries(path: str) -> list[dict]:
 
 def write(records: DataFrame, path: str, overwrite: bool = True, **options) -> None:
     records.sparkSession.dataSource.register(FixedRecordSource)
+    options = {"speculation": records.sparkSession.conf.get("spark.speculation", "false")} | options
     records.select("record", *(["crc"] if "crc" in records.columns else [])).write.format("fixedrec").options(**{k: str(v) for k, v in options.items()}).mode("overwrite" if overwrite else "append").save(path)
