@@ -242,6 +242,12 @@ class Sieve:
     def cell(self, number: Column) -> Column:
         return F.shiftrightunsigned(F.xxhash64(number, F.lit(9)), 64 - self.bits)
 
+    @staticmethod
+    def may(table: np.ndarray, cell: pa.Array) -> np.ndarray:
+        """For workers: which of the cells are set."""
+        at = cell.fill_null(0).to_numpy(zero_copy_only=False)
+        return ((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) & cell.is_valid().to_numpy(zero_copy_only=False)
+
     def through(self, rows: DataFrame, column: str, inside: bool = True) -> DataFrame:
         """The rows whose number may be among them; or, with inside=False, those whose number surely isn't (null isn't)."""
         shared, schema = self.table, rows.schema
@@ -249,9 +255,7 @@ class Sieve:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = shared.value
             for batch in batches:
-                cell = batch.column(batch.num_columns - 1)
-                at = cell.fill_null(0).to_numpy(zero_copy_only=False)
-                may = ((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) & cell.is_valid().to_numpy(zero_copy_only=False)
+                may = Sieve.may(table, batch.column(batch.num_columns - 1))
                 yield batch.select(range(batch.num_columns - 1)).filter(pa.array(may == inside))
 
         number = F.col(f"`{column}`")

@@ -158,8 +158,12 @@ class Model:
             if w in self.words:
                 out[i] += WORD_WEIGHT * self.words[w]
         # A word's script is that of most of its letters, the first in order of several.
-        letters = np.bincount(of * (len(SCRIPTS) + 1) + script_of((code >> 21) & 0x1FFFFF), minlength=len(new) * (len(SCRIPTS) + 1)).reshape(len(new), -1)
-        ok = self.fits[letters.argmax(1)]
+        each, kinds, script = script_of((code >> 21) & 0x1FFFFF), len(SCRIPTS) + 1, np.zeros(len(new), np.int64)
+        for i in range(0, len(new), 4096):
+            s, e = np.searchsorted(of, (i, i + 4096))
+            n = min(4096, len(new) - i)
+            script[i : i + n] = np.bincount((of[s:e] - i) * kinds + each[s:e], minlength=n * kinds).reshape(n, kinds).argmax(1)
+        ok = self.fits[script]
         out[~ok & ok.any(1)[:, None]] = -1e6
         out[~ok.any(1)] = 0
         out -= out.max(1, keepdims=True)

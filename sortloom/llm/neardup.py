@@ -109,14 +109,17 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """node and set (its sorted shingle hashes as bytes) of the documents with these ids, and of a few others."""
+    sieve = Sieve(ids)
+    shared = sieve.table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole in batches:  # sieved here: a second worker beside this one would cost its memory
+            batch = whole.filter(pa.array(Sieve.may(shared.value, whole.column(2))))
             for i, j, data, offsets in H.blocks(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([s.tobytes() for s in shingle_sets(data, offsets, size)], pa.binary())], names=["node", "set"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text")
-    return Sieve(ids).through(rows, "node").mapInArrow(run, "node bigint, set binary")
+    node = F.col("doc_id").cast("bigint")
+    return docs.select(node.alias("node"), "text", F.when(node.isNotNull(), sieve.cell(node)).alias("cell")).mapInArrow(run, "node bigint, set binary")
 
 
 def _beside(pairs: DataFrame, sets: DataFrame, work, schema: str) -> DataFrame:
