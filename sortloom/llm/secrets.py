@@ -1,9 +1,9 @@
 """Secrets in whole texts: fixed base patterns, and a linear-chain conditional random field that adds spans.
 
 The field tags tokens as B (a secret begins), I (inside one) or O, from the token's shape, its neighbours and
-features of the whole text, and is decoded by Viterbi. Far from any sign of a secret (a keyword, a known
-prefix, a token with digits and letters) tokens carry only weights that leave O ahead of anything
-a transition could gain, so only windows around such signs are decoded; see `plain_margin`.
+features of the whole text, and is decoded by Viterbi. Every token of every text gets its weights, many texts at a
+time (`Tables`). A token whose weight for O is ahead of B and I by more than any transitions could gain is O on the best
+path, whatever stands around it; the path between such tokens is found by Viterbi, so labels are those of the whole text.
 
 The field is trained here, on lines made from templates with a fixed seed (TRAINING of them): assignments,
 headers, connection strings and keys as secrets; prose, numbers, checksums, code and contact data as not.
@@ -19,31 +19,33 @@ import math
 import random
 import re
 import string
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache, lru_cache
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortloom.llm.common import table
+from sortloom.llm.common import alone, table
 
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
-#: Words and prefixes that call for a look at what stands around them.
+#: Words and prefixes that features name.
 SIGNS = ("passw", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "credential", "authorization", "bearer", "private key", "ghp_", "xoxb-", "sk_live", "sk-", "eyj", "akia", "://", "-----begin")
-SIGN = re.compile("|".join(map(re.escape, SIGNS)))
-#: A token with a digit and a letter, of eight characters or more, is a sign as well.
-NUMBERED = re.compile(r"[0-9][A-Za-z0-9+/_=\-]*")
-LEFT, RIGHT = 60, 160
 TOKEN = re.compile(r"[\w+/\-.~=]*[\w+/\-~]|[^\w\s]")
+#: The same tokens in time that grows with the text; a run of stops and signs of equality stands for one token each.
+RUN = re.compile(r"[.=]*[\w+/\-~]+(?:[.=]+[\w+/\-~]+)*|[.=]+|[^\w\s]")
+MARKS = ("..", "==", ".=", "=.")
+SPACE = re.compile(r"\s")
+#: Characters that are cut into tokens, and tokens that get weights, at a time; tokens that a worker remembers.
+PIECE, SLICE, REMEMBERED = 1 << 20, 1 << 18, 400_000
 LABELS = "BIO"
 TRAINING, ROUNDS, SEED = 1600, 120, 7
 
@@ -65,6 +67,10 @@ def _shape(token: str) -> tuple[str, ...]:
     return (f"shape={squeezed}", f"size={size}", f"kind={kind}", f"kind,size={kind}{size}", f"entropy={int(entropy)}", f"case={token[:1].isupper()}{any(c.isupper() for c in token[1:])}", *(f"sign={s}" for s in signs))
 
 
+WORDS = ("commit", "sha256", "sha1", "md5", "checksum", "digest", "id", "uuid", "version", "line", "the", "a", "of", "for", "basic", "user", "key", "export", "set")
+KIND = ("kind=hex", "kind=num", "kind=mix", "kind=word", "kind=punct", "kind=other")
+
+
 def _brief(token: str) -> str:
     """What a neighbour sees of a token."""
     if len(token) == 1 and not token.isalnum():
@@ -73,7 +79,7 @@ def _brief(token: str) -> str:
     for s in SIGNS:
         if s in low:
             return s
-    if low in ("commit", "sha256", "sha1", "md5", "checksum", "digest", "id", "uuid", "version", "line", "the", "a", "of", "for", "basic", "user", "key", "export", "set"):
+    if low in WORDS:
         return low
     return "w" if token.isalpha() else "n" if token.isdigit() else "m"
 
@@ -108,14 +114,14 @@ class Field:
         none = np.zeros(3)
         return np.array([sum((self.weights.get(f, none) for f in row), none) for row in rows])
 
-    def viterbi(self, e: np.ndarray) -> list[int]:
-        """The best labels; before the first token stands O."""
+    def viterbi(self, e: np.ndarray, closed: bool = False) -> list[int]:
+        """The best labels; before the first token stands O, and if closed, after the last one too."""
         best, back = e[0] + self.moves[2], []
         for x in e[1:]:
             total = best[:, None] + self.moves
             back.append(total.argmax(0))
             best = total.max(0) + x
-        labels = [int(best.argmax())]
+        labels = [int((best + self.moves[:, 2] if closed else best).argmax())]
         for b in reversed(back):
             labels.append(int(b[labels[-1]]))
         return labels[::-1]
@@ -134,11 +140,184 @@ class Field:
                 out[-1][2] = 0
         return [(s, e) for s, e, _ in out if e - s >= 6]
 
-    def plain_margin(self) -> float:
-        """By how much O leads for a plain word among plain words, less what two transitions could gain: above 0, windows lose nothing."""
-        e = self.emissions(features(["plain", "words", "stand", "about", "here", "and", "there"], ("marks=0", "long=True")))[4]
-        gain = 2 * (self.moves[:2, :2].max() - self.moves[2, 2])
-        return float(e[2] - e[:2].max() - max(0.0, gain))
+    def lead(self) -> np.ndarray:
+        """By how much O must be ahead of B and of I at a token to be on the best path, whatever labels stand around it."""
+        into = (self.moves[:, :2] - self.moves[:, 2:]).max(0)
+        out = (self.moves[:2] - self.moves[2]).max(1)
+        return into + np.maximum(0.0, out) + 1e-9
+
+
+class Classes(dict):
+    """For str.translate: what a character's place in a token's shape depends on."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        out = self[point] = "9" if c.isdigit() else ("A" if c.isalpha() else c) if c.isupper() else "a" if c.isalpha() else c
+        return out
+
+
+CLASSES, HEX16 = Classes(), re.compile("[0-9a-f]{16,}")
+
+
+@lru_cache(100_000)
+def _entropy(counts: tuple[int, ...]) -> int:
+    n = sum(counts)
+    return int(-sum(k / n * math.log2(k / n) for k in counts))
+
+
+class Tables(dict):
+    """The field's weights as tables, for many tokens at once; and as a dict, the number of each token met so far."""
+
+    def __init__(self, field: Field):
+        super().__init__()
+        self.field, self.lead = field, field.lead()
+        none, get = np.zeros(3), field.weights.get
+        known = set("".join(field.weights))
+        briefs = ["^", "$", *SIGNS, *WORDS, "w", "n", "m"]
+        briefs += sorted(c for c in known if not c.isalnum() and c not in briefs)
+        self.code = {b: i for i, b in enumerate(briefs)}  # of the others no feature has a weight: they share the last number
+        n = self.n = len(briefs) + 1
+        one = lambda name: np.array([get(f"{name}={b}", none) for b in briefs] + [none])
+        pair = lambda name: np.array([[get(f"{name}={a},{b}", none) for b in briefs] + [none] for a in briefs] + [[none] * n])
+        three = np.zeros((n, n, n, 3))
+        for key, w in field.weights.items():
+            if key.startswith("-3="):
+                for a in (x for x in briefs if key.startswith(f"-3={x},")):
+                    for b in (x for x in briefs if key.startswith(f"-3={a},{x},")):
+                        if (c := key[len(f"-3={a},{b},") :]) in self.code:
+                            three[self.code[a], self.code[b], self.code[c]] = w
+        self.before = (three + pair("-2") + one("-1")).reshape(-1, 3)
+        self.fourth, self.after = one("-4"), (one("+1")[:, None] + one("+2")).reshape(-1, 3)
+        self.kind_before = np.array([pair(f"{k},-2") for k in KIND]).reshape(-1, 3)
+        self.whole = {f"marks={i}": np.array([get(f"marks={i}", none) + get(f"{k},marks={i}", none) for k in KIND]) for i in range(4)} | {f"long={x}": get(f"long={x}", none) for x in (False, True)}
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.shapes: dict[tuple, int] = {}  # the numbers of shapes, which many tokens share
+        self.own, self.kind = np.zeros((1 << 10, 3)), np.zeros(1 << 10, np.int64)
+        self.shape, self.brief = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
+        self.used, self.long = 2, []  # the first two numbers stand for what is before and after a text
+        self.brief[:2] = self.code["^"], self.code["$"]
+
+    def __missing__(self, token: str) -> int:
+        at, self.used = self.used, self.used + 1
+        if at == len(self.brief):
+            self.shape, self.brief = np.concatenate([self.shape, self.shape]), np.concatenate([self.brief, self.brief])
+        low, n = token.lower(), len(token)
+        signs = tuple(x for x in SIGNS if x in low) if n > 2 else ()
+        if n >= 256:
+            key = at  # long ones aren't remembered
+            self.long.append(token)
+        else:
+            key = token.translate(CLASSES), _entropy(tuple(map(token.count, dict.fromkeys(token)))), signs, n >= 16 and HEX16.fullmatch(token) is not None
+        if (shape := self.shapes.get(key)) is None:
+            shape = self.shapes[key] = len(self.shapes)
+            if shape == len(self.kind):
+                self.own, self.kind = np.concatenate([self.own, self.own]), np.concatenate([self.kind, self.kind])
+            names = _shape.__wrapped__(token)
+            self.own[shape] = sum((self.field.weights[f] for f in ("1", *names) if f in self.field.weights), np.zeros(3))
+            self.kind[shape] = KIND.index(names[2])
+        self.shape[at] = shape
+        self.brief[at] = self.code[signs[0]] if signs else self.code.get(_brief(token), self.n - 1)
+        self[token] = at
+        return at
+
+    def numbers(self, text: str) -> list[np.ndarray]:
+        """The tokens' numbers, by piece of the text."""
+        out = []
+        for a, b in pieces(text):
+            found = RUN.findall(text, a, b)
+            if any(text.find(m, a, b) >= 0 for m in MARKS):
+                found = [x for t in found for x in (t if t[0] in ".=" and not t.strip(".=") else (t,))]
+            out.append(np.fromiter(map(self.__getitem__, found), np.int32, len(found)))
+        for t in self.long:  # long ones aren't remembered
+            self.pop(t, None)
+        self.long.clear()
+        return out
+
+    def unsure(self, numbers: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of tokens of several texts, each with four numbers 0 before and two numbers 1 after: where O isn't sure, and the weights there.
+
+        whole: for each of them a row of `shared`, of its text.
+        """
+        places, weights = [np.zeros(0, np.int64)], [np.zeros((0, 3))]
+        n = self.n
+        for s in range(4, len(numbers) - 2, SLICE):
+            e = min(s + SLICE, len(numbers) - 2)
+            own = numbers[s:e]
+            b = self.brief[numbers[s - 4 : e + 2]]
+            b4, b3, b2, b1, _, n1, n2 = (b[k : k + e - s] for k in range(7))
+            shape = self.shape[own]
+            kind, two = self.kind[shape], b2 * n + b1
+            w = self.own[shape] + self.before[b3 * (n * n) + two] + self.fourth[b4] + self.after[n1 * n + n2] + self.kind_before[kind * (n * n) + two] + self.shared[whole[s:e] * len(KIND) + kind]
+            at = np.flatnonzero((own > 1) & (w[:, 2:] - w[:, :2] <= self.lead).any(1))
+            places.append(at + s)
+            weights.append(w[at])
+        return np.concatenate(places), np.concatenate(weights)
+
+    @property
+    def shared(self) -> np.ndarray:
+        """Weights by features of the whole text (marks, then length) and kind."""
+        if "table" not in self.__dict__:
+            self.table = np.concatenate([self.whole[f"marks={i}"] + self.whole[f"long={x}"] for i in range(4) for x in (False, True)])
+        return self.table
+
+    def spans(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        """The spans that the field finds in each whole text."""
+        if self.used + len(self.shapes) > REMEMBERED:
+            self.forget()
+        cut = [self.numbers(t) for t in texts]
+        parts, row, begins, at = [], [], [], 0
+        for text, own in zip(texts, cut, strict=True):
+            marks, long = text_features(text)
+            parts += [np.zeros(4, np.int32), *own, np.ones(2, np.int32)]
+            row.append((2 * int(marks[-1]) + (long == "long=True"), sum(map(len, own)) + 6))
+            begins.append(at + 4)
+            at += row[-1][1]
+        if not parts:
+            return []
+        place, weight = self.unsure(np.concatenate(parts), np.repeat(*np.array(row).T))
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        runs = [*np.flatnonzero(np.diff(place, prepend=-2) > 1).tolist(), len(place)]
+        for s, e in pairwise(runs):
+            i = bisect_right(begins, int(place[s])) - 1
+            first = int(place[s]) - begins[i]
+            closed = first + e - s < row[i][1] - 6
+            labels = self.field.viterbi(weight[s:e], closed)
+            for k, label in enumerate(labels):
+                if label == 0 or label == 1 and (not k or labels[k - 1] == 2):
+                    out[i].append((first + k, first + k + 1))
+                elif label == 1:
+                    out[i][-1] = (out[i][-1][0], first + k + 1)
+        return [placed(t, [len(x) for x in own], spans) if spans else [] for t, own, spans in zip(texts, cut, out, strict=True)]
+
+
+def pieces(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches of about PIECE characters, cut at white space, where no token runs on."""
+    at = 0
+    while at < len(text):
+        gap = SPACE.search(text, at + PIECE)
+        end = gap.start() if gap else len(text)
+        yield at, end
+        at = end
+
+
+def placed(text: str, counts: list[int], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The places in the text of spans of tokens (in order), of six characters or more; counts: tokens in each piece."""
+    out, before, todo = [], 0, 0
+    for (a, b), n in zip(pieces(text), counts, strict=True):
+        if todo < len(spans) and spans[todo][0] < before + n or out and out[-1][1] is None:
+            where = [x for m in RUN.finditer(text, a, b) for x in (((k, k + 1) for k in range(*m.span())) if text[m.start()] in ".=" and not m.group().strip(".=") else (m.span(),))]
+            if out and out[-1][1] is None:  # begun in a piece before
+                last = spans[todo - 1][1] - 1 - before
+                out[-1] = (out[-1][0], where[last][1] if last < n else None)
+            while todo < len(spans) and spans[todo][0] < before + n:
+                s, e = spans[todo]
+                out.append((where[s - before][0], where[e - 1 - before][1] if e <= before + n else None))
+                todo += 1
+        before += n
+    return [(s, e) for s, e in out if e - s >= 6]
 
 
 def _line(r: random.Random) -> tuple[str, list[tuple[int, int]]]:
@@ -247,64 +426,49 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def windows(text: str, low: str) -> list[tuple[int, int]]:
-    """Stretches around signs of a secret, cut at white space, none overlapping."""
-    signs = [(m.start(), m.end()) for m in SIGN.finditer(low)] if len(low) == len(text) and any(s in low for s in SIGNS) else []
-    if len(low) != len(text) and any(s in low for s in SIGNS):
-        signs = [(m.start(), m.end()) for m in re.finditer(SIGN.pattern, text, re.I)]
-    run, after, letter = 0, -1, False  # where the run before began, where it ended, and whether it holds a letter
-    for m in NUMBERED.finditer(text):
-        s = m.start()
-        while s > max(after, 0) and (text[s - 1].isalnum() or text[s - 1] in "+/_=-"):
-            s -= 1
-        new = any(c.isalpha() for c in text[s : m.end()])
-        if s == after:  # one run with that before, though a letter beyond ASCII stands between
-            s, new = run, new or letter
-        run, after, letter = s, m.end(), new
-        if after - s >= 8 and new:
-            signs.append((s, after))
-    out: list[list[int]] = []
-    for s, e in sorted(signs):
-        s, e = max(0, s - LEFT), min(len(text), e + RIGHT)
-        while s and not text[s - 1].isspace():
-            s -= 1
-        while e < len(text) and not text[e].isspace():
-            e += 1
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(e, out[-1][1])
-        else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
-
-
 def scan(text: str, field: Field) -> tuple[list[int], str, str]:
     """(counts of the base kinds, base spans as text, all spans as text)."""
-    low = text.lower()
-    base = base_spans(text, low)
-    more = []
-    if found := windows(text, low):
-        whole = text_features(text)
-        starts, reach = [x for x, _, _ in base], list(accumulate((y for _, _, y in base), max))
-        for s, e in found:
-            for a, b in field.spans(text[s:e], s, whole):
+    return next(scans([text], tables(field)))
+
+
+_tables: list[Tables] = []
+
+
+def tables(field: Field) -> Tables:
+    """The field's tables, which a worker keeps for its next task."""
+    if not _tables or _tables[0].field is not field:
+        _tables[:] = [Tables(field)]
+    return _tables[0]
+
+
+def scans(texts: list[str], known: Tables) -> Iterator[tuple[list[int], str, str]]:
+    """scan of each text, about PIECE characters of them at a time."""
+    write = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
+    at = 0
+    while at < len(texts):
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and size + len(texts[end]) <= PIECE:
+            size, end = size + len(texts[end]), end + 1
+        for text, found in zip(texts[at:end], known.spans(texts[at:end]), strict=True):
+            base, more = base_spans(text, text.lower()), []
+            starts, reach = [x for x, _, _ in base], list(accumulate((y for _, _, y in base), max))
+            for a, b in found:
                 before = bisect_left(starts, b)  # base spans that begin before this one's end
                 if not before or reach[before - 1] <= a:
                     more.append((a, 3, b))
-    write = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
-    return [sum(k == i for _, k, _ in base) for i in range(3)], write(base), write(sorted(base + more))
+            yield [sum(k == i for _, k, _ in base) for i in range(3)], write(base), write(sorted(base + more))
+        at = end
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_spans, spans of each row's whole text."""
-    field = trained()
-    if field.plain_margin() <= 0:
-        raise ValueError("the field could tag plain words: windows would lose spans")
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = docs.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        alone("secrets", _tables.clear)
+        known = tables(shared.value)
         for batch in batches:
-            got = [scan(t, known) if t else ([0, 0, 0], "", "") for t in batch.column(1).to_pylist()]
+            got = list(scans([t or "" for t in batch.column(1).to_pylist()], known))
             columns = [batch.column(0), *(pa.array([g[0][k] for g in got], pa.int64()) for k in range(3))]
             columns += [pa.array([g[1] for g in got], pa.string()), pa.array([hashlib.sha256(g[1].encode()).hexdigest() for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_assign", "n_access", "n_hex", "base_spans", "base_sha256", "spans"])

@@ -96,6 +96,24 @@ def test_windows_decode_as_the_whole_text(spark):
     assert not differing and sum("crf" in x for x in got.values()) > 100, differing
 
 
+def test_every_token_is_decoded_wherever_it_stands(monkeypatch):
+    """Odd texts, where no word or number near by gives a secret away: spans are those of the whole text, in pieces of any size."""
+    r, texts = random.Random(1), []
+    for _ in range(300):
+        odd = "".join(r.choice("ab9ZÉ=._-/+~ :\"'\n{}<>;^$,#é 日") * r.choice((1, 1, 2, 9)) for _ in range(r.randint(0, 60)))
+        texts.append(odd + r.choice(("", " ")) + S._line(r)[0] + r.choice(("", " ")) + odd[::-1])
+    want = [whole_spans(t) for t in texts]
+    assert sum("crf" in x for x in want) > 100 and [S.scan(t, S.trained())[2] for t in texts] == want
+    for piece, part in ((1 << 20, 1 << 18), (40, 7)):
+        monkeypatch.setattr(S, "PIECE", piece)
+        monkeypatch.setattr(S, "SLICE", part)
+        assert [x[2] for x in S.scans(texts, S.Tables(S.trained()))] == want
+    at = time.perf_counter()
+    for t in ("." * 200000, "=." * 100000 + "a", "a=" * 100000, "-" * 200000):
+        S.scan(t, S.trained())
+    assert time.perf_counter() - at < 20
+
+
 def test_time_grows_with_the_text():
     field, seconds = S.trained(), []
     for n in (5000, 10000):
