@@ -7,11 +7,11 @@ own PER_LANGUAGE common words and of all other words. A document's distances are
 nearest. A document is refused if it is farther than FAR_CLASSES or FAR_WORDS. Guards: a histogram of fewer than
 LEAST_CHARS characters or LEAST_WORDS words isn't compared.
 
-Which words are common is learned from a bounded sample, about SAMPLE rows of each label; their shares, like those of the classes, are
-over all documents. Every label has a reference of its own; more than LABELS of them are no languages and an error.
+Which words are common is counted over all documents of a label, as their shares and those of the classes are.
+Every label has a reference of its own; more than LABELS of them are no languages and an error.
 
-Everything that reads texts is one native expression on the row, evaluated once into a table of counts;
-nothing is shuffled but the sample's words and the references' sums.
+Everything else that reads texts is one native expression on the row, evaluated once into a table of counts;
+nothing is shuffled but each task's distinct words with their counts, and the references' sums.
 
 Defined results: null and wordless texts have no words, fail the base rule and are not kept; texts of any
 length are read whole; runs of eight words are told apart by a 64-bit hash within a text; without any label there
@@ -31,8 +31,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: Distances beyond which a document is refused, and the least lengths to compare.
 FAR_CLASSES, FAR_WORDS, LEAST_CHARS, LEAST_WORDS = 0.32, 0.34, 200, 60
-#: Common words of a language; rows of a label to learn them from, about, and how often a word must be there; labels, at most.
-PER_LANGUAGE, SAMPLE, LEAST_SEEN, LABELS = 24, 500, 3, 10_000
+#: Common words of a language; how often a word must be there; labels, at most.
+PER_LANGUAGE, LEAST_SEEN, LABELS = 24, 3, 10_000
 N_CLASSES = 7
 
 
@@ -51,18 +51,16 @@ def class_counts(word_chars: Column) -> Column:
 
 def common_words(docs: DataFrame) -> dict[str, list[str]]:
     """For each label its common words, in lower case, the most frequent first."""
-    rows = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "doc_id", "text")
-    counts = rows.groupBy("lang").count().limit(LABELS + 1).collect()
-    if len(counts) > LABELS:
+    rows = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text")
+    labels = rows.select("lang").distinct().limit(LABELS + 1).collect()
+    if len(labels) > LABELS:
         raise ValueError(f"lang has more than {LABELS} values")
-    if not counts:
+    if not labels:
         return {}
-    rate = F.from_json(F.lit(json.dumps({r["lang"]: min(1.0, SAMPLE / r["count"]) for r in counts})), "map<string, double>")
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.element_at(rate, F.col("lang")) * float(1 << 30))
-    words = picked.select("lang", F.explode(words_of(F.lower("text"))).alias("word")).where(F.rlike("word", F.lit(r"^\p{L}+$")))
+    words = rows.select("lang", F.explode(words_of(F.lower("text"))).alias("word")).where(F.rlike("word", F.lit(r"^\p{L}+$")))
     order = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
     top = words.groupBy("lang", "word").count().where(f"count >= {LEAST_SEEN}").withColumn("place", F.row_number().over(order)).where(f"place <= {PER_LANGUAGE}")
-    out: dict[str, list[str]] = {r["lang"]: [] for r in counts}
+    out: dict[str, list[str]] = {r["lang"]: [] for r in labels}
     for r in top.orderBy("lang", "place").collect():
         out[r["lang"]].append(r["word"])
     return out
