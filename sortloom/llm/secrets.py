@@ -189,7 +189,8 @@ class Tables(dict):
         self.before = (three + pair("-2") + one("-1")).reshape(-1, 3)
         self.fourth, self.after = one("-4"), (one("+1")[:, None] + one("+2")).reshape(-1, 3)
         self.kind_before = np.array([pair(f"{k},-2") for k in KIND]).reshape(-1, 3)
-        self.whole = {f"marks={i}": np.array([get(f"marks={i}", none) + get(f"{k},marks={i}", none) for k in KIND]) for i in range(4)} | {f"long={x}": get(f"long={x}", none) for x in (False, True)}
+        # by marks and length of the whole text, and by kind
+        self.shared = np.array([get(f"marks={i}", none) + get(f"{k},marks={i}", none) + get(f"long={x}", none) for i in range(4) for x in (False, True) for k in KIND])
         self.forget()
 
     def forget(self) -> None:
@@ -256,13 +257,6 @@ class Tables(dict):
             weights.append(w[at])
         return np.concatenate(places), np.concatenate(weights)
 
-    @property
-    def shared(self) -> np.ndarray:
-        """Weights by features of the whole text (marks, then length) and kind."""
-        if "table" not in self.__dict__:
-            self.table = np.concatenate([self.whole[f"marks={i}"] + self.whole[f"long={x}"] for i in range(4) for x in (False, True)])
-        return self.table
-
     def spans(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         """The spans that the field finds in each whole text."""
         if self.used + len(self.shapes) > REMEMBERED:
